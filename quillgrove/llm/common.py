@@ -9,8 +9,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +89,57 @@ def extended(schema: T.StructType, **kinds: str) -> T.StructType:
     """A copy of a schema with more columns."""
     more = [T.StructField(name, _KINDS[kind]) for name, kind in kinds.items()]
     return T.StructType([*schema.fields, *more])
+
+
+def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Applies ``run`` to the rows of each group, streaming: one group is in
+    memory at a time, so callers cut groups to a bounded size first.  Keys are
+    integers without nulls."""
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys)
+    at = [df.columns.index(k) for k in keys]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            new = np.zeros(max(len(batch) - 1, 0), bool)
+            for k in at:
+                x = batch.column(k).to_numpy()
+                new |= x[1:] != x[:-1]
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for a, b in zip(edges, edges[1:]):
+                yield batch.slice(a, b - a)
+            rest = batch.slice(edges[-1]) if len(batch) else None
+        if rest is not None:
+            yield rest
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for group in groups(batches):
+            out = run(group)
+            if out is not None and len(out):
+                held.append(out)
+                size += len(out)
+            if size >= 5000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(each, schema)
+
+
+def tiles(df: DataFrame, key: str, blocks: str, asks: str, member: str) -> DataFrame:
+    """Deals the rows of each bucket ``df[key]`` to tiles of bounded size: an
+    asking row meets every member row of its bucket in exactly one tile.
+    ``blocks`` is the bucket's number of blocks; ``asks`` and ``member`` are
+    boolean columns, set anew in each tile."""
+    own = F.pmod(F.xxhash64(F.lit(7), F.col("rep")), F.col(blocks)).cast("int")
+    others = F.sequence(F.lit(0), F.col(blocks) - 1)
+    tile = lambda a, m, x, y: F.struct((a * F.col(blocks) + m).cast("int").alias("tile"), x.alias("a"), y.alias("m"))
+    asked = F.transform(others, lambda m: tile(own, m, F.col(asks), F.col(member) & (m == own)))
+    held = F.transform(F.filter(others, lambda a: (a != own) | ~F.col(asks)), lambda a: tile(a, own, F.col(asks) & (a == own), F.col(member)))
+    both = F.concat(F.when(F.col(asks), asked).otherwise(F.expr("cast(array() as array<struct<tile:int,a:boolean,m:boolean>>)")), held)
+    kept = [c for c in df.columns if c not in (blocks, asks, member)]
+    return df.select("*", F.explode(both).alias("_t")).filter("_t.a or _t.m").select(*kept, F.col("_t.tile").alias("tile"), F.col("_t.a").alias(asks), F.col("_t.m").alias(member))

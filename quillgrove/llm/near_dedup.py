@@ -14,7 +14,7 @@ two maxima; documents that share a band are candidates.  A pair of similarity
    components computed.  Copies of one text become one component here.
 3. Buckets that still hold several components are settled exactly: every
    member outside the bucket's largest component is held against all members,
-   in blocks of ``BLOCK``, first by sketches (8 bits of every signature value),
+   in tiles of ``BLOCK`` by ``BLOCK``, first by sketches (8 bits of every signature value),
    then by full sets.  Only pairs between components are looked at, and only
    one link to a component is kept, so rows stay linear in the bucket.
 4. Components are computed again over the links of both steps.
@@ -33,12 +33,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, by_group, ship, tiles
 from .components import components
 from .hashing import Words, column, mix, raw, slices, windows
 
@@ -171,38 +170,51 @@ def _matrix(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
 
 
+def _columns(group: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [group.column(group.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _pairs(group: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a tile: each asking row, and the members of other components that
+    sizes and sketches allow it to link with."""
+    n, comp, asks, member = _columns(group, "n", "comp", "asks", "member")
+    sketch = _matrix(group.column(group.schema.names.index("sketch")).to_pylist())
+    m = np.flatnonzero(member)
+    for i in np.flatnonzero(asks).tolist():
+        ok = _alike(sketch[i : i + 1], sketch[m], n[i : i + 1], n[m], percent)[0] & (comp[m] != comp[i])
+        if ok.any():
+            yield i, m[ok]
+
+
 def _prune(percent: int):
-    """Of a block: the members with a pair that sketches allow."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch, n, comp, asks = _matrix(pdf["sketch"].tolist()), pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["asks"].to_numpy()
-        use = np.zeros(len(pdf), bool)
-        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
-        for i in range(0, len(q), 512):
-            part = q[i : i + 512]
-            ok = _alike(sketch[part], sketch[m], n[part], n[m], percent) & (comp[part][:, None] != comp[m][None])
-            use[part] |= ok.any(1)
-            use[m] |= ok.any(0)
-        return pdf.loc[use, ["key", "block", "rep", "n", "comp", "asks", "sketch"]]
+    """The rows of a tile that have a pair to look at."""
+
+    def run(group: pa.RecordBatch) -> pa.RecordBatch | None:
+        if len(group) < 2:
+            return None
+        use = np.zeros(len(group), bool)
+        for i, found in _pairs(group, percent):
+            use[i] = use[found] = True
+        return group.filter(pa.array(use)) if use.any() else None
 
     return run
 
 
 def _settle(percent: int):
-    """Of a block: one link from each asking member to each other component."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch, n, comp, asks, rep = _matrix(pdf["sketch"].tolist()), pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["asks"].to_numpy(), pdf["rep"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        q, m, out = np.flatnonzero(asks), np.flatnonzero(~asks), []
-        for i in q.tolist():
-            ok = _alike(sketch[i : i + 1], sketch[m], n[i : i + 1], n[m], percent)[0] & (comp[m] != comp[i])
+    """Of a tile: one link from each asking row to each other component."""
+
+    def run(group: pa.RecordBatch) -> pa.RecordBatch | None:
+        rep, comp = _columns(group, "rep", "comp")
+        blobs, out = group.column(group.schema.names.index("shingles")), []
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in blobs]
+        for i, found in _pairs(group, percent):
             done: set[int] = set()
-            for k in m[ok].tolist():
+            for k in found.tolist():
                 if comp[k] not in done and linked(sets[i], sets[k], percent):
                     done.add(comp[k])
                     out.append((rep[i], rep[k]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -246,13 +258,10 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     mixed = scratch.store(mixed.select("key", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
     open_ = members.join(mixed, "key").join(known, "rep").select("key", "rep", "comp", "n", "sketch", "main", "blocks")
     open_ = scratch.store(open_, "open")
-    block = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
-    held = open_.select("key", block.alias("block"), "rep", "n", "comp", F.lit(False).alias("asks"), "sketch")
-    asking = open_.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "comp", F.lit(True).alias("asks"), "sketch")
-    schema = held.schema
-    rest = held.unionByName(asking).groupBy("key", "block").applyInPandas(_prune(percent), schema)
-    rest = scratch.store(rest, "rest")
-    more = rest.join(sets, "rep").groupBy("key", "block").applyInPandas(_settle(percent), "a long, b long")
+    asks = open_.select("key", "rep", "comp", "n", "sketch", "blocks", (F.col("comp") != F.col("main")).alias("asks"), F.lit(True).alias("member"))
+    dealt = tiles(asks, "key", "blocks", "asks", "member")
+    rest = scratch.store(by_group(dealt, ["key", "tile"], _prune(percent), dealt.schema), "rest")
+    more = by_group(rest.join(sets, "rep").select(*rest.columns, "shingles"), ["key", "tile"], _settle(percent), "a long, b long")
     more = scratch.store(more, "more")
 
     # 4. all links

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, near_dedup, packing, quality_classifier, quality_rules, substrings, token_files
+from . import bpe, chat, langid, near_dedup, packing, quality_classifier, quality_rules, substrings, token_files, vectors
 from .common import fold, table
 
 
@@ -48,12 +48,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_quality_classifier, op4_byte_bpe, op5_language_id, op6_best_fit_packing, op7_substring_dedup, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_quality_classifier, op4_byte_bpe, op5_language_id, op6_best_fit_packing, op7_substring_dedup, op8_embedding_dedup, op9_chat_format, op10_token_files)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_chat_format": chat.ORACLE}
