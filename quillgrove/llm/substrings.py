@@ -15,8 +15,8 @@ Scale: both corpus-wide steps are counts with map-side pre-aggregation, so a
 passage that a third of all documents hold is summed up before any shuffle;
 the joins back are between written tables, which adaptive execution splits by
 skewed key.  Shared anchors go to the second pass as a Bloom filter while at
-most ``bloom_most`` of them are there (16 bits each), and by a join beyond;
-removed ranges likewise.  Both ways give the same rows.
+most ``bloom_most`` of them are there (16 to 32 bits each: 32 MB at most), and
+by a join beyond; removed ranges likewise.  Both ways give the same rows.
 
 Edge cases: null and empty texts have no words and lose none.  Texts shorter
 than a window lose nothing.  Rows of one key are one document's: they never
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, by_group, ship
 from .hashing import Words, column, mix, raw, slices, windows
 
 PERIOD = 31
@@ -76,26 +76,55 @@ def _shared_anchors(source: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h")
 
 
-class Bloom:
-    """A Bloom filter of 64-bit hashes: 16 bits and 4 probes for each."""
+SEGMENTS = 64
 
-    def __init__(self, hashes: np.ndarray):
-        self.bits = max(10, int(np.ceil(np.log2(max(len(hashes), 1) * 16))))
-        self.flags = np.zeros(1 << self.bits - 3, np.uint8)
-        for at in self._probes(hashes):
-            np.bitwise_or.at(self.flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    def _probes(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+class Bloom:
+    """A Bloom filter of 64-bit hashes, 16 bits and 4 probes for each, cut into
+    segments by the hashes' top bits.  Segments are built where their hashes
+    are; only the filter's bits, a bounded number, come together."""
+
+    def __init__(self, bits: int, parts: dict[int, bytes]):
+        self.bits = bits
+        empty = bytes(1 << bits - 3)
+        self.flags = np.frombuffer(b"".join(parts.get(k, empty) for k in range(SEGMENTS)), np.uint8)
+
+    @staticmethod
+    def size(count: int) -> int:
+        """Bits of a segment, as a power of two, for ``count`` hashes in all."""
+        return max(6, int(np.ceil(np.log2(max(count, 1) * 16 / SEGMENTS))))
+
+    @staticmethod
+    def segment(hashes: np.ndarray, bits: int) -> bytes:
+        flags = np.zeros(1 << bits, bool)
+        for at in Bloom.probes(hashes, bits):
+            flags[at] = True
+        return np.packbits(flags, bitorder="little").tobytes()
+
+    @staticmethod
+    def probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         for k in range(4):
-            yield (mix(hashes + np.uint64(k + 1)) >> np.uint64(64 - self.bits)).astype(np.int64)
+            yield (mix(hashes + np.uint64(k + 1)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for at in self._probes(hashes):
+        out, base = np.ones(len(hashes), bool), (hashes >> np.uint64(58)).astype(np.int64) << self.bits
+        for at in self.probes(hashes, self.bits):
+            at = base + at
             out &= (self.flags[at >> 3] >> (at & 7) & 1).astype(bool)
         return out
 
 
+def bloom_of(shared: DataFrame, count: int) -> Bloom:
+    bits = Bloom.size(count)
+
+    def build(group: pa.RecordBatch) -> pa.RecordBatch:
+        flags = Bloom.segment(group.column(1).to_numpy().view(np.uint64), bits)
+        return pa.RecordBatch.from_arrays([group.column(0).slice(0, 1), pa.array([flags], pa.binary())], names=["segment", "flags"])
+
+    keyed = shared.select(F.shiftrightunsigned("h", 58).cast("int").alias("segment"), "h")
+    return Bloom(bits, {r["segment"]: bytes(r["flags"]) for r in by_group(keyed, ["segment"], build, "segment int, flags binary").collect()})
+
+
 def _around(words: Words, at: np.ndarray) -> np.ndarray:
     """Starts of the whole windows that hold one of the anchors ``at``."""
     reach = np.zeros(len(words) + 1, np.int32)
@@ -116,9 +145,8 @@ def _window_rows(words: Words, hashes: np.ndarray, starts: np.ndarray, keys: pa.
 _WINDOWS = "h long, g int, doc_id long, pos int"
 
 
-def _windows_by_bloom(source: DataFrame, shared: DataFrame) -> DataFrame:
-    hashes = np.concatenate([np.zeros(0, np.int64), shared.toArrow().column(0).to_numpy()]).view(np.uint64)
-    bloom = source.sparkSession.sparkContext.broadcast(Bloom(hashes))
+def _windows_by_bloom(source: DataFrame, shared: DataFrame, count: int) -> DataFrame:
+    bloom = source.sparkSession.sparkContext.broadcast(bloom_of(shared, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,8 +229,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     scratch = Scratch(spark, "substrings")
     source = _source(docs, key, text)
     shared = scratch.store(_shared_anchors(source), "shared")
-    if shared.count() <= bloom_most:
-        seen = _windows_by_bloom(source, shared)
+    if (count := shared.count()) <= bloom_most:
+        seen = _windows_by_bloom(source, shared, count)
     else:
         seen = _windows_by_join(source, shared, scratch)
     seen = scratch.store(seen, "windows")
