@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 Provider = Callable[[list[str]], list[list[float]]]
 MAX_CHARS, BATCH = 50_000, 100
 
@@ -40,6 +42,7 @@ def embed_one(text: str, provider: Provider) -> list[float]:
 
 def with_embedding(rows: DataFrame, content: str, provider: Provider) -> DataFrame:
     """Adds ``embedding`` of a text column, a batch of texts a call."""
+    ship(rows.sparkSession)
     at = rows.columns.index(content)
     schema = rows.select("*", F.lit(None).cast("array<float>").alias("embedding")).schema
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..storage import ship
+
 
 def pick_contents(scores: list[float], contents: list[str], k: int, weight: float = 0.7) -> list[int]:
     """Indices chosen: the first, then the best mix of score and novelty."""
@@ -39,6 +41,8 @@ def pick_files(scores: list[float], kinds: list[str], k: int, weight: float = 0.
 
 
 def _spread(found: DataFrame, query: str, column: str, k: int, weight: float, pick) -> DataFrame:
+    ship(found.sparkSession)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
         out = pdf.iloc[pick(pdf["score"].tolist(), pdf[column].fillna("").tolist(), k, weight)].copy()

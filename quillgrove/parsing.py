@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.files import parse_language
+from .storage import ship
 
 LANGUAGES = ("python", "go", "rust", "c", "cpp", "javascript", "typescript", "tsx")
 SYMBOLS = "symbol_name string, symbol_type string, line_start int, line_end int, signature string, docstring string, parent_symbol string, visibility string, category string"
@@ -397,6 +398,7 @@ def _table(files: DataFrame, schema: str, rows: Callable[[str, str, str | None],
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.string(), *types], strict=True)], names=["filename", *names])
 
+    ship(files.sparkSession)
     told = files.select("filename", "content", parse_language(F.col("filename")).alias("language"))
     return told.mapInArrow(run, f"filename string, {schema}")
 

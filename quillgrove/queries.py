@@ -526,3 +526,91 @@ def upsert_merge(spark, sf_dir):
     return tables.upsert(o, new, ["o_orderkey"])
 
 
+
+
+# streams, parsing
+
+
+@query("SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_incremental_counts(spark, sf_dir):
+    import uuid
+
+    from .storage import shared_dir
+    from .streaming import ingest
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+    ingest.event_counts(stream, f"{at}/checkpoint", f"{at}/out")
+    return ingest.merged_counts(spark, f"{at}/out").select("event_type", "day", "n", F.round("total", 4).alias("total"))
+
+
+CODE = {
+    "pkg/shapes.py": 'import os, sys\nfrom a.b import c\n\n__all__ = ["Box", "build"]\n\nclass Box(Base, object):\n    """A box."""\n    def area(self):\n        return helper(1)\n\ndef build():\n    return Box()\n',
+    "src/lib.rs": "use std::fs;\nmod util;\n\npub struct S { a: i32 }\nimpl S {\n    pub fn get(&self) -> i32 { self.a }\n}\n",
+    "cmd/main.go": 'package main\nimport "fmt"\n\nfunc Run() {\n\tfmt.Println("hi")\n}\n',
+    "ui/app.tsx": "import x from './x'\nexport const Button = (p) => { return 1 }\nclass D extends E implements F {\n  go(a) { return a }\n}\n",
+}
+
+
+def code_files(spark) -> DataFrame:
+    return spark.createDataFrame(sorted(CODE.items()), "filename string, content string")
+
+
+def values(rows: list[tuple], names: str) -> str:
+    shown = ", ".join("(" + ", ".join("NULL" if v is None else f"{v}" if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {shown}) t({names})"
+
+
+@query(values([("cmd/main.go", "fmt"), ("pkg/shapes.py", "os"), ("pkg/shapes.py", "sys"), ("pkg/shapes.py", "a.b"), ("src/lib.rs", "std"), ("src/lib.rs", "util"), ("ui/app.tsx", "./x")], "filename, import_name"))
+def extract_imports(spark, sf_dir):
+    from . import parsing
+
+    return parsing.file_imports(code_files(spark)).select("filename", "import_name")
+
+
+@query(values([("cmd/main.go", "Run", "function", 4, None, "public"), ("pkg/shapes.py", "Box", "class", 6, None, "public"), ("pkg/shapes.py", "area", "method", 8, "Box", "public"), ("pkg/shapes.py", "build", "function", 11, None, "public"), ("src/lib.rs", "S", "struct", 4, None, "public"), ("src/lib.rs", "get", "method", 6, "S", "public"), ("ui/app.tsx", "Button", "component", 2, None, "public"), ("ui/app.tsx", "D", "class", 3, None, "public"), ("ui/app.tsx", "go", "method", 4, "D", "public")], "filename, symbol_name, symbol_type, line_start, parent_symbol, visibility"))
+def extract_symbols(spark, sf_dir):
+    from . import parsing
+
+    return parsing.file_symbols(code_files(spark)).select("filename", "symbol_name", "symbol_type", "line_start", "parent_symbol", "visibility")
+
+
+@query(values([("cmd/main.go", "Println", 5, "method_call"), ("pkg/shapes.py", "helper", 9, "function_call"), ("pkg/shapes.py", "Box", 12, "function_call")], "filename, function_name, line_number, call_type"))
+def extract_calls(spark, sf_dir):
+    from . import parsing
+
+    return parsing.file_calls(code_files(spark)).select("filename", "function_name", "line_number", "call_type")
+
+
+@query(values([("pkg/shapes.py", "Box", "Base", "extends"), ("ui/app.tsx", "D", "E", "extends"), ("ui/app.tsx", "D", "F", "implements")], "filename, source_name, target_name, relationship_type"))
+def extract_relationships(spark, sf_dir):
+    from . import parsing
+
+    return parsing.file_relationships(code_files(spark)).select("filename", "source_name", "target_name", "relationship_type")
+
+
+@query(values([("pkg/shapes.py", "Box"), ("pkg/shapes.py", "build"), ("src/lib.rs", "S"), ("src/lib.rs", "get"), ("ui/app.tsx", "Button")], "filename, symbol_name"))
+def exported_symbols(spark, sf_dir):
+    from . import parsing
+
+    return parsing.file_exports(code_files(spark)).select("filename", "symbol_name")
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    from . import parsing
+
+    chunks = parsing.file_chunks(docs(spark, sf_dir).select("filename", "content"))
+    return chunks.groupBy("filename").agg(F.count("*").alias("chunks"), F.max("end").alias("size"))
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    from .functions.embedding import hashing_provider, with_embedding
+    from .plans.search import Index, hybrid
+
+    rows = docs(spark, sf_dir).select("filename", F.lit("[0, 1)").alias("location"), "content")
+    provider = hashing_provider()
+    found = hybrid(Index(with_embedding(rows, "content", provider)), "thing orre hehely", provider(["thing orre hehely"])[0], 10)
+    return found.select("filename", r6(F.col("score"), "score"))
