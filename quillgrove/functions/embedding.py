@@ -7,7 +7,9 @@ bag of features.  Others are any ``list[str] -> list[list[float]]``.
 from __future__ import annotations
 
 import re
+import time
 import zlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,3 +55,40 @@ def with_embedding(rows: DataFrame, content: str, provider: Provider) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
 
     return rows.mapInArrow(run, schema)
+
+
+def memoised(rows: DataFrame, content: str, provider: Provider, known: DataFrame | None, version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """``with_embedding`` that embeds each distinct text once, and none that
+    ``known(digest, embedding)`` has.  Also returns the table of what is known
+    after it.  ``version`` names the provider's behaviour."""
+    keyed = rows.withColumn("_digest", F.sha2(F.concat(F.lit(version + "\0"), F.coalesce(content, F.lit(""))), 256))
+    new = keyed.groupBy("_digest").agg(F.first(content).alias("_text"))
+    if known is not None:
+        new = new.join(known.select(F.col("digest").alias("_digest")), "_digest", "left_anti")
+    made = with_embedding(new, "_text", provider).select(F.col("_digest").alias("digest"), "embedding")
+    every = made if known is None else known.select("digest", "embedding").unionByName(made)
+    return keyed.join(every.withColumnRenamed("digest", "_digest"), "_digest").drop("_digest"), every
+
+
+class QueryCache:
+    """The driver's vectors of recent queries: least recently used go first,
+    and all go after ``ttl`` seconds."""
+
+    def __init__(self, provider: Provider, most: int = 1000, ttl: float = 3600.0, clock: Callable[[], float] = time.monotonic):
+        self.provider, self.most, self.ttl, self.clock = provider, most, ttl, clock
+        self.held: OrderedDict[str, tuple[float, list[float]]] = OrderedDict()
+        self.hits = self.misses = 0
+
+    def __call__(self, text: str) -> list[float]:
+        at, found = self.held.get(text, (0.0, None))
+        if found is not None and self.clock() - at < self.ttl:
+            self.hits += 1
+            self.held.move_to_end(text)
+            return found
+        self.misses += 1
+        found = embed_one(text, self.provider)
+        self.held[text] = (self.clock(), found)
+        self.held.move_to_end(text)
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)
+        return found

@@ -61,7 +61,6 @@ def _both_ways(edges: DataFrame, forward: bool, backward: bool, seq: str | None)
 def _traverse(edges: DataFrame, starts: DataFrame, hops: int, limit: int | None, forward: bool, backward: bool, seq: str | None) -> DataFrame:
     """Breadth-first discovery order: by the parent's place, then direction,
     then the neighbour (by ``seq`` first, where given)."""
-    spark = edges.sparkSession
     ways = stored(_both_ways(edges, forward, backward, seq), "ways")
     first = starts.select(F.col("node"), F.col("place").cast("long").alias("place"))
     seen = stored(first.select("node", F.lit(None).cast(dict(first.dtypes)["node"]).alias("parent"), F.lit(None).cast("int").alias("way"), F.lit(0).alias("hop"), "place"), "seen")
@@ -83,7 +82,6 @@ def _traverse(edges: DataFrame, starts: DataFrame, hops: int, limit: int | None,
         seen = stored(seen.unionByName(frontier), "seen")
         if limit is not None and count >= limit:
             break
-    del spark
     return seen
 
 
@@ -158,3 +156,17 @@ def expand(found: DataFrame, tree: DataFrame, most: int = 10) -> DataFrame:
     fresh = tree.join(found.select(F.col("filename").alias("target")).distinct(), "target", "left_anti")
     cut = fresh.orderBy("hop", "target").limit(most)
     return cut.filter(category(F.col("target")) == "implementation")
+
+
+def invalidate(cache: DataFrame, changed: DataFrame) -> DataFrame:
+    """An adjacency table without the rows of changed files and of the files
+    that import one of them."""
+    gone = changed.select(F.col("filename").alias("_gone")).distinct()
+    users = cache.select("filename", F.explode("imports").alias("_gone")).join(gone, "_gone", "left_semi").select("filename")
+    return cache.join(gone, F.col("filename") == F.col("_gone"), "left_anti").join(users.distinct(), "filename", "left_anti")
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """Files, edges, and files without imports of an adjacency table."""
+    edges = F.coalesce(F.sum(F.size("imports")), F.lit(0)).cast("long")
+    return cache.agg(F.count("*").alias("files"), edges.alias("edges"), F.count_if(F.size("imports") == 0).alias("leaves"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,18 +22,18 @@ def budget(rows: DataFrame, most: int, size: str, order: list, group: str | None
     return rows.withColumn("used", total).filter(F.col("used") <= most)
 
 
-def extract_lines(files: DataFrame, first: int, last: int, limit: int | None = None, content: str = "content") -> DataFrame:
+def extract_lines(files: DataFrame, first: int | Column, last: int | Column, limit: int | None = None, content: str = "content") -> DataFrame:
     """``code, end, n_lines, truncated`` of lines ``first`` to ``last``.  Whole
     lines are taken while their bytes fit; a first line that doesn't is cut by
     characters.  Row by row, so nothing is shuffled."""
-    text = F.col(content)
+    text, first, last = F.col(content), F.lit(first), F.lit(last)
     ends = text.endswith("\n")
     pieces = F.split(text, "\n", -1)
     pieces = F.when(ends, F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
     n = F.when(text == "", 0).otherwise(F.size(pieces))
     lines = F.transform(pieces, lambda x, i: F.when((i < F.size(pieces) - 1) | ends, F.concat(x, F.lit("\n"))).otherwise(x))
-    wanted = F.slice(lines, first, max(last - first + 1, 0))
-    bad = F.when(F.lit(first) > F.greatest(n, F.lit(1)), F.raise_error(F.lit("first line is beyond the file")).cast("string"))
+    wanted = F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
+    bad = F.when(first > F.greatest(n, F.lit(1)), F.raise_error(F.lit("first line is beyond the file")).cast("string"))
     state = F.struct(F.lit("").alias("code"), F.lit(0).alias("count"), F.lit(False).alias("full"))
     most = F.lit(limit if limit is not None else 1 << 30)
 
@@ -43,5 +43,5 @@ def extract_lines(files: DataFrame, first: int, last: int, limit: int | None = N
         return F.when(s.full, s).when(fits, F.struct(F.concat(s.code, x).alias("code"), (s["count"] + 1).alias("count"), F.lit(False).alias("full"))).otherwise(cut)
 
     got = files.withColumn("_s", F.aggregate(wanted, state, add)).withColumn("_n", n)
-    end = F.lit(first) + F.col("_s.count") - 1
-    return got.select(*files.columns, F.coalesce(bad, F.col("_s.code")).alias("code"), end.alias("end"), F.col("_n").alias("n_lines"), (F.col("_s.full") | (F.lit(last) > F.col("_n"))).alias("truncated"))
+    end = first + F.col("_s.count") - 1
+    return got.select(*files.columns, F.coalesce(bad, F.col("_s.code")).alias("code"), end.alias("end"), F.col("_n").alias("n_lines"), (F.col("_s.full") | (last > F.col("_n"))).alias("truncated"))

@@ -239,9 +239,16 @@ def symbols(text: str, filename: str, language: str | None) -> list[_Symbol]:
     out: list[_Symbol] = []
     bodies: list[tuple[int, int]] = []  # of values: not looked into
 
+    def last(m: re.Match, at: int) -> int:
+        """Where a declaration ends: an arrow's plain expression at its line's end."""
+        after = code[m.end() :].lstrip(" \t")
+        if m[0].endswith("=>") and after[:1] not in ("{", "(", "\n"):
+            return m.end() + (code[m.end() :] + "\n").index("\n")
+        return close(code, max(at, m.end() if m[0].endswith("=>") else at))
+
     def add(m: re.Match, name: str, kind: str, parent: str | None) -> None:
         at = m.start() + len(m[0]) - len(m[0].lstrip())
-        end, head = close(code, at), text[at : text.find("\n", at) if "\n" in text[at:] else len(text)]
+        end, head = last(m, at), text[at : text.find("\n", at) if "\n" in text[at:] else len(text)]
         seen = "public"
         if language == "go":
             seen = "public" if name[:1].isupper() else "internal"
@@ -256,7 +263,7 @@ def symbols(text: str, filename: str, language: str | None) -> list[_Symbol]:
             name, parent = m[2], m[1] or next((s for a, b, s in reversed(scopes) if a < m.start() < b), None)
             told = "method" if kind == "function" and parent else _named(kind, name)
             if kind == "value":
-                bodies.append((m.start(), close(code, m.end())))
+                bodies.append((m.start(), last(m, m.end())))
             if kind == "class":
                 scopes.append((m.start(), close(code, m.start()), name))
             add(m, name, told, parent if kind == "function" else None)
@@ -286,20 +293,6 @@ def exported(text: str, language: str | None) -> list[str]:
     return []
 
 
-def symbol_category(filename: str, name: str, kind: str, visibility: str, parent: str | None, set_: str | None = None, offered: bool = False) -> str:
-    """Set before, then test, api (public and no member, or offered to other
-    files), internal, implementation."""
-    if set_ and set_ != "implementation":
-        return set_
-    folders = any(x in filename for x in ("test/", "tests/", "__tests__/", "spec/"))
-    if name.startswith(("test_", "Test")) or (kind == "class" and name.endswith("Test")) or folders or re.search(r"_test\.(py|go|rs)$", filename):
-        return "test"
-    if offered or (visibility == "public" and parent is None):
-        return "api"
-    hidden = visibility in ("private", "internal") or (name.startswith("_") and not name.startswith("__")) or (name.startswith("__") and not name.endswith("__"))
-    return "internal" if hidden else "implementation"
-
-
 def relationships(text: str, language: str | None) -> list[tuple[str, str, str, int, float]]:
     out = []
     if language == "python" and text.strip():

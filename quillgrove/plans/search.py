@@ -190,6 +190,14 @@ def choose_symbols(index: Index, files: DataFrame, query: str, vector: list[floa
     return fusion.cap_per_group(found, "filename", per_file, [F.desc("score"), F.asc("doc")], most).withColumn("score", F.round("score", 6))
 
 
+def with_code(symbols: DataFrame, files: DataFrame, limit: int = 8_000) -> DataFrame:
+    """Adds each symbol's ``code``, the lines of its file under a budget of
+    bytes, with ``end`` and ``truncated``.  ``symbols`` is a top-k list."""
+    whole = files.select("filename", F.col("content").alias("_whole"))
+    joined = F.broadcast(symbols).join(whole, "filename").filter(F.col("line_start") <= F.size(F.split("_whole", "\n", -1)))
+    return spans.extract_lines(joined, F.col("line_start"), F.col("line_end"), limit, "_whole").drop("_whole", "n_lines")
+
+
 def prioritise(files: DataFrame, docs: bool = True, tests: bool = False, most: int = 4) -> DataFrame:
     """``files(filename, rank)`` without tests unless asked, and with one
     documentation file at most."""

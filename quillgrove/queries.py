@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import files as N
 from .functions import text as T
-from .operators import calls, evaluate, fusion, graph, lexical, spans, tables, vectors
+from .functions.stemming import english_terms
+from .operators import calls, cover, evaluate, fusion, graph, lexical, spans, tables, vectors
 from .operators.diversity import content_mmr, file_mmr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +126,20 @@ def prefix_match(spark, sf_dir):
     return docs(spark, sf_dir).filter(lexical.prefix_matches(F.col("content"), ["orre", "thing"])).select("doc")
 
 
+_STEMS = [("the running dogs were happily jumping", "run dog happili jump"), ("relational databases and their conditions", "relat databas condit"), ("caresses ponies ties cats", "caress poni ti cat"), ("agreed plastered motoring sing", "agre plaster motor sing"), ("hopping falling hissing filing", "hop fall hiss file"), ("generalization oscillators probate rate cease", "gener oscil probat rate ceas")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _STEMS) + ") t(said, terms)")
+def english_stems(spark, sf_dir):
+    rows = spark.createDataFrame([(a,) for a, _ in _STEMS], "said string")
+    return rows.select("said", F.array_join(english_terms(F.col("said")), " ").alias("terms"))
+
+
+@query()
+def cover_density(spark, sf_dir):
+    return cover.cover_density(docs(spark, sf_dir), ["thing", "orre"], top_k=20).select("doc", "level", r6(F.col("score"), "score"))
+
+
 # text functions
 
 
@@ -223,6 +238,14 @@ def cosine_neighbours(spark, sf_dir):
     return e.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg(vectors.cosine(F.col("embedding"), F.col("before"))), "mean"))
 
 
+@query("SELECT vec_id AS doc, 0.0::DOUBLE AS against_zero, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS against_self FROM embeddings")
+def cosine_pairs_zero_norm(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+    own = F.col("embedding")
+    return e.select(F.col("vec_id").alias("doc"), vectors.cosine(own, zero).alias("against_zero"), r6(vectors.cosine(own, own), "against_self"))
+
+
 def _lists(spark, sf_dir, k: int = 30):
     e = read(spark, sf_dir, "embeddings")
     near = vectors.nearest(e, _first_vector(e), "vec_id", top_k=k)
@@ -281,6 +304,34 @@ def per_group_cap(spark, sf_dir):
     return fusion.cap_per_group(fusion.category_boost(found), "lang", 3, [F.desc("score"), F.asc("doc")]).select("doc", "lang", r6(F.col("score"), "score"))
 
 
+@query(f"WITH {DOCS}, {bm25_sql(TERMS, limit='')}, b AS (SELECT doc, filename, score * {WEIGHT} AS score FROM bm JOIN docs USING (doc)) SELECT doc, filename, round(score, 6) AS score FROM b")
+def category_boost(spark, sf_dir):
+    found = lexical.bm25_plus(docs(spark, sf_dir), TERMS, top_k=None).join(docs(spark, sf_dir).select("doc", "filename"), "doc")
+    return fusion.category_boost(found).select("doc", "filename", r6(F.col("score"), "score"))
+
+
+_PART_KIND = "CASE WHEN p_name LIKE '%a%' AND p_size % 5 = 0 THEN 'test' WHEN p_size % 2 = 0 THEN 'api' WHEN p_size % 3 = 0 THEN 'internal' ELSE 'implementation' END"
+
+
+@query(f"SELECT p_partkey AS doc, round(p_retailprice * CASE {_PART_KIND} WHEN 'api' THEN 1.2 WHEN 'internal' THEN 0.8 WHEN 'test' THEN 0.3 ELSE 1.0 END, 4) AS score FROM part")
+def symbol_category_boost(spark, sf_dir):
+    from .operators.symbols import symbol_boost
+
+    part = read(spark, sf_dir, "part")
+    kinds = part.select(F.col("p_partkey").alias("doc"), F.expr(_PART_KIND).alias("category")).filter("category <> 'implementation'")
+    return symbol_boost(part.select(F.col("p_partkey").alias("doc"), F.col("p_retailprice").alias("score")), kinds).select("doc", F.round("score", 4).alias("score"))
+
+
+_RERANK = " + ".join(f"(CASE WHEN list_contains({WORDS}, '{t}') THEN 1 ELSE 0 END)" for t in TERMS)
+
+
+@query(f"WITH {DOCS}, {bm25_sql(TERMS, limit='ORDER BY score DESC, doc LIMIT 30')}, c AS (SELECT doc, bm.score AS old, ({_RERANK}) / 3.0::DOUBLE AS score FROM bm JOIN docs USING (doc)) SELECT doc, round(score, 6) AS score FROM c ORDER BY c.score DESC, old DESC, doc LIMIT 10")
+def rerank_overlap(spark, sf_dir):
+    from .operators.rerank import reranker
+
+    return reranker()(_candidates(spark, sf_dir), " ".join(TERMS), 10).select("doc", r6(F.col("score"), "score"))
+
+
 def _candidates(spark, sf_dir) -> DataFrame:
     found = lexical.bm25_plus(docs(spark, sf_dir), TERMS, top_k=30)
     named = F.broadcast(found).join(docs(spark, sf_dir).select("doc", "filename", "content"), "doc")  # 30 rows
@@ -439,6 +490,17 @@ def centrality_boost(spark, sf_dir):
     return fusion.centrality_boost(found, central, 0.5).select("s_suppkey", r6(F.col("score"), "score"))
 
 
+@query(f"WITH {LINKS}, c AS (SELECT DISTINCT url AS filename FROM pages WHERE page_id % 10 = 0), x AS (SELECT filename FROM c UNION SELECT src FROM e WHERE dst IN (SELECT filename FROM c)), n AS (SELECT src AS filename FROM e UNION SELECT dst FROM e) SELECT filename FROM n WHERE filename NOT IN (SELECT filename FROM x)")
+def cache_invalidation(spark, sf_dir):
+    changed = read(spark, sf_dir, "pages").filter("page_id % 10 = 0").select(F.col("url").alias("filename"))
+    return graph.invalidate(graph.adjacency(link_edges(spark, sf_dir)), changed).select("filename")
+
+
+@query(f"WITH {LINKS}, d AS (SELECT DISTINCT src, dst FROM e), n AS (SELECT src AS filename FROM e UNION SELECT dst FROM e) SELECT (SELECT count(*) FROM n) AS files, (SELECT count(*) FROM d) AS edges, (SELECT count(*) FROM n WHERE filename NOT IN (SELECT src FROM d)) AS leaves")
+def cache_statistics(spark, sf_dir):
+    return graph.cache_stats(graph.adjacency(link_edges(spark, sf_dir)))
+
+
 # spans, budgets
 
 
@@ -503,8 +565,10 @@ def ir_aggregate(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency_metrics(spark, sf_dir):
-    ev = read(spark, sf_dir, "events")
-    return ev.groupBy("event_type").agg(F.count("*").alias("n"), r6(F.sum("value"), "total"), F.min("value").alias("least"), F.max("value").alias("most"), r6(F.avg("value"), "mean"))
+    from .monitoring import latencies
+
+    found = latencies(read(spark, sf_dir, "events"), "event_type", "value")
+    return found.select("event_type", "n", r6(F.col("total"), "total"), "least", "most", r6(F.col("mean"), "mean"))
 
 
 # tables
@@ -526,8 +590,6 @@ def upsert_merge(spark, sf_dir):
     return tables.upsert(o, new, ["o_orderkey"])
 
 
-
-
 # streams, parsing
 
 
@@ -597,6 +659,27 @@ def exported_symbols(spark, sf_dir):
     return parsing.file_exports(code_files(spark)).select("filename", "symbol_name")
 
 
+_MEANT = [("app/main.py", "pkg.util", "pkg/util.py"), ("app/main.py", "local", "app/local.py"), ("app/main.py", "pkg", "pkg/__init__.py"), ("src/a.ts", "./b", "src/b.tsx"), ("src/a.ts", "./lib", "src/lib/index.ts"), ("src/main.rs", "util", "src/util.rs")]
+_IMPORTING = {"app/main.py": "import pkg.util, local, os\nfrom pkg import x\n", "src/a.ts": "import b from './b'\nimport l from './lib'\nimport r from 'react'\n", "src/main.rs": "use util::x;\nuse std::fs;\n"}
+
+
+@query(values([(a, c) for a, _, c in _MEANT], "src, dst"))
+def import_resolution(spark, sf_dir):
+    from . import parsing
+
+    files = [*_IMPORTING.items(), *((c, "") for _, _, c in _MEANT)]
+    return parsing.import_graph(spark.createDataFrame(files, "filename string, content string"))
+
+
+@query(values([("pkg/shapes.py", "Box", "api"), ("pkg/shapes.py", "area", "implementation"), ("pkg/shapes.py", "build", "api"), ("src/lib.rs", "S", "api"), ("src/lib.rs", "get", "api"), ("cmd/main.go", "Run", "api"), ("ui/app.tsx", "Button", "api"), ("ui/app.tsx", "D", "api"), ("ui/app.tsx", "go", "implementation")], "filename, symbol_name, category"))
+def symbol_categories(spark, sf_dir):
+    from . import parsing
+    from .operators.symbols import categorise
+
+    files = code_files(spark)
+    return categorise(parsing.file_symbols(files), parsing.file_exports(files)).select("filename", "symbol_name", "category")
+
+
 @query()
 def chunk_documents(spark, sf_dir):
     from . import parsing
@@ -614,3 +697,44 @@ def hybrid_search(spark, sf_dir):
     provider = hashing_provider()
     found = hybrid(Index(with_embedding(rows, "content", provider)), "thing orre hehely", provider(["thing orre hehely"])[0], 10)
     return found.select("filename", r6(F.col("score"), "score"))
+
+
+def _index(spark, sf_dir):
+    """An index over the documents, one chunk each, and the code fixtures."""
+    from . import parsing
+    from .functions.embedding import hashing_provider, with_embedding
+    from .plans.search import Index
+
+    files = docs(spark, sf_dir).select("filename", "content").unionByName(code_files(spark))
+    provider = hashing_provider()
+    place = F.concat(F.lit("[0, "), F.least(F.length("content"), F.lit(400)).cast("string"), F.lit(")"))
+    chunks = with_embedding(files.withColumn("location", place), "content", provider)
+    symbols = with_embedding(parsing.file_symbols(code_files(spark)), "signature", provider)
+    return Index(chunks, symbols, None, parsing.import_graph(code_files(spark)), files), provider
+
+
+@query()
+def file_search(spark, sf_dir):
+    from .plans import search
+
+    index, provider = _index(spark, sf_dir)
+    found = search.file_search(index, "thing orre hehely", provider(["thing orre hehely"])[0], 5)
+    return found.select("rank", "filename", "score", "is_reference_only")
+
+
+@query()
+def curated_sections(spark, sf_dir):
+    from .plans import search
+
+    index, provider = _index(spark, sf_dir)
+    found = search.curated_sections(index, "thing orre hehely", provider(["thing orre hehely"])[0])
+    return found.select("rank", "filename", "line_start", "line_end", "source", "score")
+
+
+@query()
+def symbol_search(spark, sf_dir):
+    from .plans import search
+
+    index, provider = _index(spark, sf_dir)
+    found = search.symbol_list(index, ["build", "box"], provider(["build box"])[0], 5)
+    return found.select("filename", "symbol_name", r6(F.col("score"), "score"))

@@ -22,7 +22,7 @@ from ..functions import files as N
 from ..functions import text as T
 from ..functions.embedding import Provider, hashing_provider, with_embedding
 from ..operators import graph, tables
-from ..plans.search import Index, choose_symbols, file_search, hybrid, symbol_text
+from ..plans.search import Index, choose_symbols, file_search, hybrid, symbol_text, with_code
 from ..sources.files import EXTENSIONS, IGNORED, scan
 
 REGISTRY = "name string, path string, status string, version int, created_at timestamp, last_indexed timestamp, file_count long, chunk_count long, error_message string"
@@ -188,11 +188,20 @@ class Engine:
         return hybrid(self.index(path), query, self.provider([query])[0], top_k, self.settings)
 
     def retrieve(self, path: str, query: str, top_k: int = 10) -> dict[str, DataFrame]:
-        """``files``, ``dependencies`` between them and ``symbols`` in them."""
+        """``files``, ``dependencies`` between them and ``symbols`` in them
+        with their code."""
         self.ensure_indexed(path)
         index, vector = self.index(path), self.provider([query])[0]
         found = file_search(index, query, vector, top_k, self.settings)
-        return {"files": found, "dependencies": graph.dependencies(index.edges, found), "symbols": choose_symbols(index, found, query, vector)}
+        symbols = with_code(choose_symbols(index, found, query, vector).drop("embedding"), index.files)
+        return {"files": found, "dependencies": graph.dependencies(index.edges, found), "symbols": symbols}
+
+    def calls(self, path: str) -> DataFrame:
+        """The call edges of a repository."""
+        row = self._get(path)
+        if row is None or row["version"] is None:
+            raise IndexMissing(path)
+        return self._read(row, "calls")
 
 
 # streams
