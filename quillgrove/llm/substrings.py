@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, ship
+from .common import Scratch, by_group, extended, ship
 from .hashing import Words, column, mix, raw, slices, windows
 
 PERIOD = 31
@@ -55,8 +55,9 @@ def _anchors(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(windows(hashes, ANCHOR)[at])
 
 
-def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _source(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``row`` tells texts of one key apart."""
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"), *carry)
 
 
 def _shared_anchors(source: DataFrame) -> DataFrame:
@@ -135,14 +136,15 @@ def _around(words: Words, at: np.ndarray) -> np.ndarray:
     return starts[np.cumsum(reach)[starts] > 0]
 
 
-def _window_rows(words: Words, hashes: np.ndarray, starts: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
+def _window_rows(words: Words, hashes: np.ndarray, starts: np.ndarray, keys: pa.Array, rows: pa.Array) -> pa.RecordBatch:
     own, place = words.places()
     first = mix(windows(hashes, WINDOW)[starts]).view(np.int64)
     second = (mix(windows(hashes, WINDOW, _SECOND)[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), keys.take(pa.array(own[starts])), pa.array(place[starts].astype(np.int32))], names=["h", "g", "doc_id", "pos"])
+    at = pa.array(own[starts])
+    return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), keys.take(at), rows.take(at), pa.array(place[starts].astype(np.int32))], names=["h", "g", "doc_id", "row", "pos"])
 
 
-_WINDOWS = "h long, g int, doc_id long, pos int"
+_WINDOWS = "h long, g int, doc_id long, row long, pos int"
 
 
 def _windows_by_bloom(source: DataFrame, shared: DataFrame, count: int) -> DataFrame:
@@ -157,7 +159,7 @@ def _windows_by_bloom(source: DataFrame, shared: DataFrame, count: int) -> DataF
                 at, found = _anchors(words, hashes)
                 at = at[bloom.value.holds(found)]
                 if len(at) and len(starts := _around(words, at)):
-                    yield _window_rows(words, hashes, starts, keys.slice(i, j - i))
+                    yield _window_rows(words, hashes, starts, keys.slice(i, j - i), batch.column(2).slice(i, j - i))
 
     return source.filter("doc_id is not null").mapInArrow(run, _WINDOWS)
 
@@ -172,22 +174,22 @@ def _windows_by_join(source: DataFrame, shared: DataFrame, scratch: Scratch) ->
                 words = Words(*raw(texts.slice(i, j - i)))
                 at, found = _anchors(words, words.hashes())
                 own, place = words.places()
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), keys.slice(i, j - i).take(pa.array(own[at])), pa.array(place[at].astype(np.int32))], names=["h", "doc_id", "pos"])
+                rows = (x.slice(i, j - i).take(pa.array(own[at])) for x in (keys, batch.column(2)))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *rows, pa.array(place[at].astype(np.int32))], names=["h", "doc_id", "row", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, places = column(batch, "text"), batch.column(0), batch.column(2).to_pylist()
+            texts, keys, rows, places = column(batch, "text"), batch.column(0), batch.column(2), batch.column(3).to_pylist()
             for i in range(len(texts)):
                 words = Words(*raw(texts.slice(i, 1)))
                 at = np.unique(np.array(places[i], np.int64))
-                at = at[at + ANCHOR <= len(words)]  # rows of one key may differ in length
                 if len(at) and len(starts := _around(words, at)):
-                    yield _window_rows(words, words.hashes(), starts, keys.slice(i, 1))
+                    yield _window_rows(words, words.hashes(), starts, keys.slice(i, 1), rows.slice(i, 1))
 
     keyed = source.filter("doc_id is not null")
-    marks = keyed.mapInArrow(anchors, "h long, doc_id long, pos int").join(shared, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    marks = keyed.mapInArrow(anchors, "h long, doc_id long, row long, pos int").join(shared, "h").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("places"))
     marks = scratch.store(marks, "marks")
-    return keyed.join(marks, "doc_id").select("doc_id", "text", "places").mapInArrow(run, _WINDOWS)
+    return keyed.join(marks, ["doc_id", "row"]).select("doc_id", "text", "row", "places").mapInArrow(run, _WINDOWS)
 
 
 def _ranges(starts: list[int]) -> list[int]:
@@ -198,16 +200,16 @@ def _ranges(starts: list[int]) -> list[int]:
 
 
 def _removed(seen: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(doc_id, ranges)`` of the documents that lose words."""
+    """``(doc_id, row, ranges)`` of the texts that lose words."""
     first = seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first")
     first = scratch.store(first, "first")
-    late = seen.join(first, ["h", "g"]).filter("doc_id > first").select("doc_id", "pos")
+    late = seen.join(first, ["h", "g"]).filter("doc_id > first").select("doc_id", "row", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_ranges(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "ranges"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_ranges(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "row", "ranges"])
 
-    return late.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")).mapInArrow(run, "doc_id long, ranges array<long>")
+    return late.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("starts")).mapInArrow(run, "doc_id long, row long, ranges array<long>")
 
 
 def cut_words(text: bytes, ranges: list[int]) -> tuple[int, int, bytes]:
@@ -221,9 +223,10 @@ def cut_words(text: bytes, ranges: list[int]) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bloom_most: int = 8_000_000, ranges_most: int = 500_000, digest: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bloom_most: int = 8_000_000, ranges_most: int = 500_000, digest: bool = False, carry: tuple[str, ...] | None = None) -> DataFrame:
     """``n_words``, ``n_removed`` and ``kept_text`` (with ``digest``, instead
-    its ``kept_sha256``) of every document."""
+    its ``kept_sha256``) of every document.  With ``carry``, the text and those
+    columns come along."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "substrings")
@@ -242,12 +245,15 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = column(batch, "text"), batch.column(2).to_pylist()
+            texts, found = column(batch, "text"), batch.column(len(along)).to_pylist()
             for i, j in slices(texts, 4_000_000):
                 rows = [cut_words(t, r or []) for t, r in zip(texts.slice(i, j - i).to_pylist(), found[i:j], strict=True)]
                 words, gone, kept = zip(*rows, strict=True)
                 kept = [hashlib.sha256(x).hexdigest() for x in kept] if digest else [x.decode() for x in kept]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, last[1])], names=["doc_id", "n_words", "n_removed", last[0]])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in out), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, last[1])], names=[*(along[k] for k in out), "n_words", "n_removed", last[0]])
 
-    joined = source.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last[0]} string")
+    along = ["doc_id", "text", *(carry or ())]
+    out = range(1 if carry is None else len(along))
+    joined = _source(docs, key, text, carry or ()).join(ranges, ["doc_id", "row"], "left").select(*along, "ranges")
+    schema = extended(joined.select(*(along[k] for k in out)).schema, n_words="long", n_removed="long")
+    return joined.mapInArrow(run, schema.add(last[0], "string"))
