@@ -7,7 +7,9 @@ Hamming table (Norouzi et al., 2012): codes that differ in fewer bits than
 there are tables share a bucket.  Substrings grow with the logarithm of the
 number of vectors, so buckets keep their size.  Pairs of a bucket are then
 reranked by the cosine of the original vectors in double precision; a pair
-that shares several tables counts in the first of them only.
+that shares several tables counts in the first of them only.  Substrings are
+shortened until the tables find 99 % of the sample's own links, by brute force
+over the sample.
 
 Equal vectors are one class, and classes carry their sizes.  Buckets are cut
 into tiles of ``BLOCK`` by ``BLOCK``; a tile gives each vector's number of
@@ -63,9 +65,29 @@ class Quantiser:
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """``(vectors, TABLES)``: table number and substring in one integer."""
-        flags = ((_unit(x) - self.mean) @ self.maps >= 0).reshape(len(x), TABLES, self.bits)
+        flags = ((_unit(x) - self.mean) @ self.maps >= 0).reshape(len(x), TABLES, -1)[:, :, : self.bits]
         return flags @ (1 << np.arange(self.bits)) + (np.arange(TABLES) << 40)
 
+    def calibrate(self, sample: np.ndarray, cosine: float, least: float = 0.99, pairs: int = 1_000_000) -> None:
+        """Shortens substrings until tables find ``least`` of the sample's own
+        links, held against brute force; with none left every pair is met.  Of
+        each block's links at most ``pairs`` over the blocks are looked at."""
+        x, links = _unit(sample), []
+        blocks = range(0, len(x), 512)
+        for i in blocks:
+            a, b = np.nonzero(x[i : i + 512] @ x.T >= cosine)
+            a += i
+            a, b = a[a < b], b[a < b]
+            step = max(1, len(a) * len(blocks) // pairs)
+            links.append((a[::step], b[::step]))
+        a, b = (np.concatenate([k[n] for k in links]) for n in (0, 1))
+        while len(a) and self.bits > 0:
+            found = self.keys(sample)
+            hit = sum(int((found[a[i : i + 65536]] == found[b[i : i + 65536]]).any(1).sum()) for i in range(0, len(a), 65536))
+            if hit >= least * len(a):
+                break
+            self.bits -= 1
+
 
 def _vectors(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), width)
@@ -141,7 +163,9 @@ def embedding_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     fitted = {}
     for w in widths:
         drawn = classes.filter(F.col("width") == w).orderBy(F.xxhash64("vec")).limit(sample).select("vec").toArrow().column(0)
-        fitted[w] = Quantiser(_vectors(drawn.combine_chunks(), w), bits)
+        known = _vectors(drawn.combine_chunks(), w)
+        fitted[w] = Quantiser(known, bits)
+        fitted[w].calibrate(known, cosine)
     shared = spark.sparkContext.broadcast(fitted)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
