@@ -1,7 +1,15 @@
 """A corpus pipeline: five stages over ``documents``, each a written table.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that its
-predecessor kept; all but the last return the columns of ``documents``.
+predecessor kept; all but the last return the columns of ``documents``.  Rules
+and classifier judge a row by itself and filter it on the spot, so only the
+dedup stages shuffle.
+
+Edge cases: a document without a doc_id could not be named in the result, so
+the first stage rejects it; null, empty and too short texts are rejected there
+too.  Rows that repeat a doc_id are one document's: they stay or go together
+in the near-duplicate stage.  Null ``lang``, ``source`` and ``n_chars`` stay
+null, and columns beyond those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -13,7 +21,8 @@ from pyspark.sql import functions as F
 from quillgrove.llm import near_dedup, packing, quality_classifier, quality_rules, substrings
 from quillgrove.llm.common import Scratch, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REST = ("lang", "source", "n_chars")
+COLUMNS = ["doc_id", "text", *REST]
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -23,12 +32,12 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, quality_rules.quality_rules(docs).withColumnRenamed("kept", "keep"))
+    return quality_rules.filtered(docs.filter("doc_id is not null"), REST)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, quality_classifier.quality_classifier(docs, model).withColumn("keep", F.col("predicted") == 1))
+    return quality_classifier.quality_classifier(docs, model, carry=REST).filter("predicted = 1").select(COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +47,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lose words go on with the kept ones, joined by a space;
     the others keep their text as it is."""
-    found = Scratch(spark, "stage").store(substrings.substring_dedup(docs).filter("n_removed > 0").select("doc_id", "kept_text"), "changed")
-    joined = docs.join(found, "doc_id", "left")
-    text = F.coalesce("kept_text", "text")
-    size = F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    found = substrings.substring_dedup(docs, carry=REST)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

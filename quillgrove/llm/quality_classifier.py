@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ship
+from .common import extended, fold, ship
 from .hashing import BASE, BYTE_BASE, BYTE_CODE, Words, column, mix, raw, slices
 
 BUCKET_BITS = 18
@@ -125,8 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train([texts[i] for i in order], found["y"].to_numpy()[order].astype(int))
 
 
-def quality_classifier(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``score`` and ``predicted`` of every document."""
+def quality_classifier(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """``score`` and ``predicted`` of every document.  With ``carry``, the text
+    and those columns come along, so that a filter needs no join."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # 2 ** BUCKET_BITS floats: 1 MB
@@ -136,7 +137,8 @@ def quality_classifier(docs: DataFrame, model: Model, key: str = "doc_id", text:
             texts = column(batch, "text")
             for i, j in slices(texts, 1_000_000):
                 p = score(texts.slice(i, j - i), shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(along))), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*along, "score", "predicted"])
 
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, score double, predicted int")
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(carry or ()))
+    along = ["doc_id"] if carry is None else source.columns
+    return source.mapInArrow(run, extended(source.select(*along).schema, score="double", predicted="int"))

@@ -24,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, extended, ship
 from .hashing import Words, column, mix, raw, slices, windows
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_letters", "n_shouts"]
-_FEATURES = ", ".join(f"{c} long" for c in COUNTS + MORE)
 
 
 def _lut(chars: bytes) -> np.ndarray:
@@ -87,19 +86,21 @@ def _counts(part: pa.Array) -> list[np.ndarray]:
     ]
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = column(batch, "text")
-        for i, j in slices(texts):
-            found = [pa.array(x.astype(np.int64)) for x in _counts(texts.slice(i, j - i))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *found], names=["doc_id", *COUNTS, *MORE])
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """The counts that the rules look at, of whole texts.  With ``carry``, the
+    text and those columns come along, so that a filter needs no join."""
+    ship(docs.sparkSession)
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(carry or ()))
+    along = ["doc_id"] if carry is None else source.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = column(batch, "text")
+            for i, j in slices(texts):
+                found = [pa.array(x.astype(np.int64)) for x in _counts(texts.slice(i, j - i))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(along))), *found], names=[*along, *COUNTS, *MORE])
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The counts that the rules look at, of whole texts."""
-    ship(docs.sparkSession)
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(_features, f"doc_id {dict(source.dtypes)['doc_id']}, {_FEATURES}")
+    return source.mapInArrow(run, extended(source.select(*along).schema, **dict.fromkeys(COUNTS + MORE, "long")))
 
 
 def _share(top: str, bottom: str) -> Column:
@@ -110,8 +111,6 @@ def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-
-
 def rules() -> dict[str, Column]:
     """Every rule votes 1 (good), -1 (bad) or 0 (abstains)."""
     length = _share("word_chars", "n_words")
@@ -153,22 +152,29 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, false_ala
     return dict(zip([p for p, _ in patterns], good.tolist(), strict=True)), np.stack([of_bad, of_good]), float(share)
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts, ``base_failed``, the posterior ``p_good`` and ``kept`` of every document."""
-    spark = docs.sparkSession
-    counts = Scratch(spark, "quality").store(features(docs, key, text), "counts")
+def judged(found: DataFrame) -> DataFrame:
+    """Adds ``base_failed``, ``p_good`` and ``kept`` to stored ``features``."""
     votes = rules()
     code = sum((v + 1) * 3**i for i, v in enumerate(votes.values()))
-    coded = counts.withColumn("votes", code.cast("int"))
-    found = coded.groupBy("votes").count().collect()  # at most 3 ** rules rows
+    coded = found.withColumn("votes", code.cast("int"))
+    seen = coded.groupBy("votes").count().collect()  # at most 3 ** rules rows
     digits = lambda n: tuple(n // 3**i % 3 - 1 for i in range(len(votes)))
-    posterior, _, _ = fit([(digits(r["votes"]), r["count"]) for r in sorted(found)])
+    posterior, _, _ = fit([(digits(r["votes"]), r["count"]) for r in sorted(seen)])
     rows = [(sum((v + 1) * 3**i for i, v in enumerate(p)), g) for p, g in posterior.items()]
-    table = spark.createDataFrame(rows, "votes int, p_good double")
+    table = found.sparkSession.createDataFrame(rows, "votes int, p_good double")
     words = F.col("n_words")
-    return (
-        coded.join(F.broadcast(table), "votes", "left")
-        .withColumn("base_failed", (words < 20) | (100 * F.col("n_repeat_words") > 30 * words))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
-        .select("doc_id", *COUNTS, "base_failed", "kept", "p_good")
-    )
+    failed = (words < 20) | (100 * F.col("n_repeat_words") > 30 * words)
+    return coded.join(F.broadcast(table), "votes", "left").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+
+
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Counts, ``base_failed``, the posterior ``p_good`` and ``kept`` of every document."""
+    counts = Scratch(docs.sparkSession, "quality").store(features(docs, key, text), "counts")
+    return judged(counts).select("doc_id", *COUNTS, "base_failed", "kept", "p_good")
+
+
+def filtered(docs: DataFrame, carry: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that are kept: ``doc_id``, ``text`` and ``carry``.  Texts
+    are written once beside their counts; nothing is shuffled."""
+    counts = Scratch(docs.sparkSession, "quality").store(features(docs, key, text, carry), "counts")
+    return judged(counts).filter("kept").select("doc_id", "text", *carry)
