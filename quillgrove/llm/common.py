@@ -130,16 +130,17 @@ def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch], pa.
     return dealt.mapInArrow(each, schema)
 
 
-def tiles(df: DataFrame, key: str, blocks: str, asks: str, member: str) -> DataFrame:
+def tiles(df: DataFrame, key: str, blocks: str, asks: str, member: str, ask_blocks: str) -> DataFrame:
     """Deals the rows of each bucket ``df[key]`` to tiles of bounded size: an
-    asking row meets every member row of its bucket in exactly one tile.
-    ``blocks`` is the bucket's number of blocks; ``asks`` and ``member`` are
-    boolean columns, set anew in each tile."""
-    own = F.pmod(F.xxhash64(F.lit(7), F.col("rep")), F.col(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.col(blocks) - 1)
-    tile = lambda a, m, x, y: F.struct((a * F.col(blocks) + m).cast("int").alias("tile"), x.alias("a"), y.alias("m"))
-    asked = F.transform(others, lambda m: tile(own, m, F.col(asks), F.col(member) & (m == own)))
-    held = F.transform(F.filter(others, lambda a: (a != own) | ~F.col(asks)), lambda a: tile(a, own, F.col(asks) & (a == own), F.col(member)))
-    both = F.concat(F.when(F.col(asks), asked).otherwise(F.expr("cast(array() as array<struct<tile:int,a:boolean,m:boolean>>)")), held)
-    kept = [c for c in df.columns if c not in (blocks, asks, member)]
+    asking row meets every member row of its bucket in exactly one tile.  The
+    bucket has ``blocks`` blocks of members and ``ask_blocks`` of asking rows,
+    so a large bucket with few questions is copied few times.  ``asks`` and
+    ``member`` are boolean columns, set anew in each tile."""
+    own = lambda n: F.pmod(F.xxhash64(F.lit(7), F.col("rep")), F.col(n)).cast("int")
+    tile = lambda a, m, x, y: F.struct((a.cast("long") * F.col(blocks) + m).alias("tile"), x.alias("a"), y.alias("m"))
+    asked = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda m: tile(own(ask_blocks), m, F.col(asks), F.col(member) & (m == own(blocks))))
+    others = F.filter(F.sequence(F.lit(0), F.col(ask_blocks) - 1), lambda a: (a != own(ask_blocks)) | ~F.col(asks))
+    held = F.transform(others, lambda a: tile(a, own(blocks), F.lit(False), F.col(member)))
+    both = F.concat(F.when(F.col(asks), asked).otherwise(F.expr("cast(array() as array<struct<tile:bigint,a:boolean,m:boolean>>)")), held)
+    kept = [c for c in df.columns if c not in (blocks, ask_blocks, asks, member)]
     return df.select("*", F.explode(both).alias("_t")).filter("_t.a or _t.m").select(*kept, F.col("_t.tile").alias("tile"), F.col("_t.a").alias(asks), F.col("_t.m").alias(member))

@@ -254,12 +254,13 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     members = buckets.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     members = scratch.store(members, "members")
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-    mixed = scratch.store(mixed.select("key", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    open_ = members.join(mixed, "key").join(known, "rep").select("key", "rep", "comp", "n", "sketch", "main", "blocks")
+    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps")).filter("comps > 1")
+    in_blocks = lambda n, name: F.ceil(n / BLOCK).cast("int").alias(name)
+    mixed = scratch.store(mixed.select("key", "main", in_blocks(F.col("size"), "blocks"), in_blocks(F.col("size") - F.col("most"), "ask_blocks")), "mixed")
+    open_ = members.join(mixed, "key").join(known, "rep").select("key", "rep", "comp", "n", "sketch", "main", "blocks", "ask_blocks")
     open_ = scratch.store(open_, "open")
-    asks = open_.select("key", "rep", "comp", "n", "sketch", "blocks", (F.col("comp") != F.col("main")).alias("asks"), F.lit(True).alias("member"))
-    dealt = tiles(asks, "key", "blocks", "asks", "member")
+    asks = open_.select("key", "rep", "comp", "n", "sketch", "blocks", "ask_blocks", (F.col("comp") != F.col("main")).alias("asks"), F.lit(True).alias("member"))
+    dealt = tiles(asks, "key", "blocks", "asks", "member", "ask_blocks")
     rest = scratch.store(by_group(dealt, ["key", "tile"], _prune(percent), dealt.schema), "rest")
     more = by_group(rest.join(sets, "rep").select(*rest.columns, "shingles"), ["key", "tile"], _settle(percent), "a long, b long")
     more = scratch.store(more, "more")

@@ -182,7 +182,7 @@ def embedding_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     counts = coded.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     counts = scratch.store(counts.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "counts")
     rows = coded.select(F.explode("keys").alias("key"), "rep", "size", "vec", "keys").join(counts, "key")
-    dealt = tiles(rows.select("*", F.lit(True).alias("asks"), F.lit(True).alias("member")), "key", "blocks", "asks", "member")
+    dealt = tiles(rows.select("*", F.col("blocks").alias("ask_blocks"), F.lit(True).alias("asks"), F.lit(True).alias("member")), "key", "blocks", "asks", "member", "ask_blocks")
     found = scratch.store(by_group(dealt, ["key", "tile"], _links(cosine), "rep long, n long, root long"), "found")
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))

@@ -123,6 +123,14 @@ def test_substrings_of_every_alignment(spark):
     check_removed(substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+@pytest.mark.parametrize("bloom_most", [8_000_000, 0])
+def test_texts_of_one_key_are_cut_by_their_own_windows(spark, bloom_most):
+    passage = " ".join(f"q{i}" for i in range(60))
+    rows = [(1, passage), (5, passage + " tail"), (5, "some other text " * 30 + passage), (5, " ".join(f"own{i}" for i in range(90))), (6, passage)]
+    found = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bloom_most=bloom_most)
+    check_removed(found.collect(), rows)
+
+
 def test_difference_cover_has_every_shift():
     cover = set(substrings.COVER)
     assert {(a - b) % substrings.PERIOD for a in cover for b in cover} == set(range(substrings.PERIOD))
