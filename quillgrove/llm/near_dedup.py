@@ -272,3 +272,29 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     scratch.drop("shared", "buckets", "inside", "known", "sets", "pairs", "close", "links", "members", "mixed", "open", "rest", "more", "parts", "classes")
     id_ = F.coalesce("component", "doc_id")
     return every.select("doc_id", *same).join(found, same, "left").select("doc_id", "n_shingles", id_.alias("component_id"), (F.col("doc_id") == id_).alias("kept"))
+
+
+#: The same rows in DuckDB, through an inverted index of shingles.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS x FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), h AS (
+  SELECT x, list(doc_id ORDER BY doc_id) AS ids FROM s GROUP BY x HAVING count(*) > 1
+), p AS (
+  SELECT a, b, count(*) AS same FROM (SELECT unnest(ids) AS a, ids FROM h), unnest(ids) t(b) WHERE a < b GROUP BY a, b
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)
+), both_ways AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, b FROM r JOIN both_ways ON a = seen
+), c AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY node
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id
+"""

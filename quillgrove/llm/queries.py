@@ -64,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_quality_classifier, op4_byte_bpe, op5_language_id, op6_best_fit_packing, op7_substring_dedup, op8_embedding_dedup, op9_chat_format, op10_token_files)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_chat_format": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_near_dedup": near_dedup.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op9_chat_format": chat.ORACLE}

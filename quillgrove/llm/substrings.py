@@ -257,3 +257,22 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     joined = _source(docs, key, text, carry or ()).join(ranges, ["doc_id", "row"], "left").select(*along, "ranges")
     schema = extended(joined.select(*(along[k] for k in out)).schema, n_words="long", n_removed="long")
     return joined.mapInArrow(run, schema.add(last[0], "string"))
+
+
+#: The digest rows in DuckDB, over all windows.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) t(i)
+), late AS (
+  SELECT doc_id, i FROM win JOIN (SELECT h, min(doc_id) AS f FROM win GROUP BY h HAVING count(*) > 1) USING (h) WHERE doc_id > f
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM late, range(50) t(k)
+), cut AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
