@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         for batch in batches:
             sizes = column(batch, "text")
             texts = batch.column(1).fill_null("")
-            for i, j in slices(sizes, 12_000_000):
+            for i, j in slices(sizes, 4_000_000):
                 ids = encoder(texts.slice(i, j - i).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 

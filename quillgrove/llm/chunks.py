@@ -4,31 +4,35 @@ A single space between two characters that are not white space always starts
 a new pre-token in the tokenizers used here, and a single line feed between
 such characters is always one of its own, so a text may be cut there and its
 ids are the ids of its chunks one after another.  Any other white space keeps
-its neighbours in one chunk.  Chunks repeat much more than texts do, so
-most of a text becomes dictionary lookups; what is new in a slice of texts is
-encoded in one call.
+its neighbours in one chunk.  Chunks repeat much more than texts do: a
+slice of texts is cut and its distinct chunks are found by Arrow, only distinct
+chunks are looked up or encoded, and the ids are gathered by numpy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-def pieces(text: str) -> list[str]:
-    """The text cut before every space and around every line feed.  These are
-    chunks only if all of them are ``closed``; see ``cut`` for the rest."""
-    if "\0" in text:
-        return cut(text)
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+def pieces(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The texts, none with a NUL, cut before every space and around every line
+    feed: ``(number of the piece, one after another; pieces; pieces of each
+    text)``.  They are chunks only if all of a text's are ``closed``."""
+    counts = np.array([t.count(" ") + 2 * t.count("\n") + 1 for t in texts], np.int64)
+    whole = "\0".join(texts).replace("\n", "\0\n\0").replace(" ", "\0 ")
+    found = pc.split_pattern(pa.array([whole], pa.large_string()), "\0").values.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist(), counts
 
 
 def closed(piece: str) -> bool:
     """Whether a piece neither starts (after its own space) nor ends with white
     space, or is one line feed: an empty piece shows white space beside it."""
-    if piece == "\n":
-        return True
-    body = piece[1:] if piece[:1] == " " else piece
-    return bool(body) and not body[0].isspace() and not body[-1].isspace()
+    body = piece.strip()
+    return bool(body) and len(body) == len(piece) - (piece[0] == " ") or piece == "\n"
 
 
 def cut(text: str) -> list[str]:
@@ -46,32 +50,92 @@ def cut(text: str) -> list[str]:
     return out
 
 
+#: Characters that, after a letter or digit, always start a pre-token.
+TAIL = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\""
+
+
 class ChunkEncoder:
     """``texts -> ids as bytes`` by ``encode_many``, which maps chunks to ids as
-    bytes.  At most ``limit`` chunks of 48 characters are remembered."""
+    bytes.  Chunks of up to 48 characters are remembered in two generations of
+    ``limit``: those in use move to the young one, the others go with the old.
+    A new chunk's closing punctuation is looked up by itself."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 500_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 250_000):
         self.encode_many, self.limit = encode_many, limit
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _seen(self, chunk: str) -> bytes | None:
+        v = self.known.get(chunk)
+        return self.old.get(chunk) if v is None else v
+
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks that are not known."""
+        parts, wanted = [], {}
+        for c in chunks:
+            base = c.rstrip(TAIL)
+            if len(base) < len(c) and base and (base[-1].isalpha() or base[-1].isdecimal()):
+                pair = base, c[len(base) :]
+            else:
+                pair = (c,)
+            parts.append(pair)
+            for x in pair:
+                if x not in wanted:
+                    wanted[x] = self._seen(x)
+        todo = [x for x, v in wanted.items() if v is None]
+        wanted.update(zip(todo, self.encode_many(todo), strict=True))
+        out = [wanted[x[0]] if len(x) == 1 else wanted[x[0]] + wanted[x[1]] for x in parts]
+        self.known.update((x, wanted[x]) for x in todo if len(x) <= 48)
+        self.known.update((c, v) for c, v in zip(chunks, out, strict=True) if len(c) <= 48)
+        return out
+
+    def _ids(self, chunks: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is known of distinct chunks, and the numbers of the others."""
         if len(self.known) > self.limit:
-            self.known = {}
-        get = self.known.get
-        parts: list[list[str]] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            own = pieces(text) if text else []
-            lost = [p for p, v in zip(own, map(get, own)) if v is None]
-            if lost and not all(map(closed, lost)):
-                own = cut(text)
-                lost = [p for p in own if p not in self.known]
-            new.update(dict.fromkeys(lost))
-            parts.append(own)
-        extra: dict[str, bytes] = {}
-        if new:
-            for key, value in zip(new, self.encode_many(list(new)), strict=True):
-                (self.known if len(key) <= 48 and closed(key) else extra)[key] = value
-        if not extra:
-            return [b"".join(map(get, own)) for own in parts]
-        return [b"".join([v if (v := get(p)) is not None else extra[p] for p in own]) for own in parts]
+            self.known, self.old = {}, self.known
+        values = list(map(self.known.get, chunks))
+        lost = []
+        for k in [k for k, v in enumerate(values) if v is None]:
+            v = self.old.get(chunks[k])
+            if v is None:
+                lost.append(k)
+            else:
+                values[k] = self.known[chunks[k]] = v
+        return values, lost
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and "\0" not in t]
+        by_cut = [i for i, t in enumerate(texts) if "\0" in t]
+        if plain:
+            index, names, counts = pieces([texts[i] for i in plain])
+            values, lost = self._ids(names)  # what is known is closed
+            good = [k for k in lost if closed(names[k])]
+            for k, v in zip(good, self._new([names[k] for k in good]), strict=True):
+                values[k] = v
+            first = np.concatenate([[0], np.cumsum(counts)])
+            if len(good) < len(lost):
+                odd = np.array([v is None for v in values])
+                bad = np.add.reduceat(odd[index], first[:-1]) > 0
+                by_cut += [plain[k] for k in np.flatnonzero(bad)]
+                index, plain = index[~np.repeat(bad, counts)], [i for i, b in zip(plain, bad, strict=True) if not b]
+                first = np.concatenate([[0], np.cumsum(counts[~bad])])
+                values = [v if v is not None else b"" for v in values]
+            size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            ids, begin = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
+            many = size[index]
+            ends = np.concatenate([[0], np.cumsum(many)])
+            at = np.arange(ends[-1]) + np.repeat(begin[index] - ends[:-1], many)
+            blob, marks = ids[at].tobytes(), (ends[first] * 4).tolist()
+            for i, a, b in zip(plain, marks, marks[1:]):
+                out[i] = blob[a:b]
+        for i in by_cut:
+            own = cut(texts[i])
+            names = list(dict.fromkeys(own))
+            found = {c: v for c in names if (v := self._seen(c)) is not None}
+            lost = [c for c in names if c not in found]
+            whole = [c for c in lost if not closed(c)]
+            part = [c for c in lost if closed(c)]
+            found |= dict(zip(whole, self.encode_many(whole) if whole else [], strict=True)) | dict(zip(part, self._new(part), strict=True))
+            out[i] = b"".join([found[p] for p in own])
+        return out

@@ -26,9 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, once for each application.  The zip
-    is served by the driver, so executors need no shared code folder."""
+    is served by the driver, so executors need no shared code folder.  Rows
+    hold whole texts, so where the session keeps Spark's default of 10,000 rows
+    an Arrow batch, it is lowered: both sides hold a few batches at a time."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 
@@ -11,6 +12,13 @@ from .chunks import ChunkEncoder
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
+_FORMATS = [struct.Struct(f"<{n}I") for n in range(65)]
+
+
+def pack(ids: list[int]) -> bytes:
+    return _FORMATS[len(ids)].pack(*ids)
+
+
 def encoder(path: str) -> ChunkEncoder:
     """Once for each worker process.  Ids are little-endian unsigned 32-bit
     integers; special tokens' strings in a text are ordinary text."""
@@ -25,7 +33,7 @@ def encoder(path: str) -> ChunkEncoder:
 
         def encode_many(chunks: list[str]) -> list[bytes]:
             found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
+            return [np.array(x.ids, "<u4").tobytes() if len(x) > 64 else pack(x.ids) for x in found]
 
-        _LOADED[path] = ChunkEncoder(encode_many, 700_000)
+        _LOADED[path] = ChunkEncoder(encode_many)
     return _LOADED[path]

@@ -143,7 +143,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = 2, width: int = 2,
         encode, keys, counts, n_null = encoder(path), [], [], 0
         for batch in batches:
             sizes, texts = column(batch, "text"), batch.column(1).fill_null("")
-            for i, j in slices(sizes, 8_000_000):
+            for i, j in slices(sizes, 4_000_000):
                 out = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in encode(texts.slice(i, j - i).to_pylist())]
                 counts += [len(x) // width for x in out]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
