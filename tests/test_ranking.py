@@ -10,7 +10,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillgrove.config import InvalidInput, Settings, check_query
-from quillgrove.functions import files as N
 from quillgrove.operators import evaluate, fusion, lexical, vectors
 from quillgrove.operators.diversity import content_mmr, file_mmr, pick_contents, pick_files
 
@@ -172,4 +171,3 @@ def test_queries_are_validated(query, k):
 def test_settings_come_from_the_environment():
     got = Settings.from_env({"QUILLGROVE_HOPS": "5", "QUILLGROVE_B": "bad", "QUILLGROVE_K1": "-1", "QUILLGROVE_FILE_LAMBDA": "0.9"})
     assert (got.hops, got.b, got.k1, got.file_lambda) == (5, 0.75, 1.2, 0.9)
-    assert N is not None
