@@ -8,7 +8,6 @@ import random
 import numpy as np
 import pytest
 from brute import awkward, awkward_rows, close, empty, near, removed, shingles
-from pyspark.sql import functions as F
 
 from quillgrove.llm import near_dedup, queries, substrings, vectors
 from quillgrove.llm.components import components
@@ -194,4 +193,3 @@ def test_vectors_in_several_tiles(spark, monkeypatch):
     rows = [(i, (base + rng.normal(size=16) * 0.01).tolist()) for i in range(50)]
     found = vectors.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert all(r["n_links"] == 49 and r["component_id"] == 0 for r in found)
-    assert found and F is not None
