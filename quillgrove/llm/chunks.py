@@ -70,24 +70,25 @@ class ChunkEncoder:
         return self.old.get(chunk) if v is None else v
 
     def _new(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks that are not known."""
-        parts, wanted = [], {}
-        for c in chunks:
-            base = c.rstrip(TAIL)
-            if len(base) < len(c) and base and (base[-1].isalpha() or base[-1].isdecimal()):
-                pair = base, c[len(base) :]
-            else:
-                pair = (c,)
-            parts.append(pair)
+        """Ids of distinct closed chunks that are not known."""
+        bases = [c.rstrip(TAIL) for c in chunks]
+        parts = {c: (b, c[len(b) :]) for c, b in zip(chunks, bases, strict=True) if len(b) < len(c) and b and (b[-1].isalpha() or b[-1].isdecimal())}
+        todo = dict.fromkeys(c for c in chunks if c not in parts)
+        seen: dict[str, bytes] = {}
+        for pair in parts.values():
             for x in pair:
-                if x not in wanted:
-                    wanted[x] = self._seen(x)
-        todo = [x for x, v in wanted.items() if v is None]
-        wanted.update(zip(todo, self.encode_many(todo), strict=True))
-        out = [wanted[x[0]] if len(x) == 1 else wanted[x[0]] + wanted[x[1]] for x in parts]
-        self.known.update((x, wanted[x]) for x in todo if len(x) <= 48)
-        self.known.update((c, v) for c, v in zip(chunks, out, strict=True) if len(c) <= 48)
-        return out
+                if x not in todo and x not in seen:
+                    v = self._seen(x)
+                    if v is None:
+                        todo[x] = None
+                    else:
+                        seen[x] = v
+        names = list(todo)
+        seen.update(zip(names, self.encode_many(names), strict=True))
+        for c, (b, tail) in parts.items():
+            seen[c] = seen[b] + seen[tail]
+        self.known.update((x, v) for x, v in seen.items() if len(x) <= 48)
+        return [seen[c] for c in chunks]
 
     def _ids(self, chunks: list[str]) -> tuple[list[bytes | None], list[int]]:
         """What is known of distinct chunks, and the numbers of the others."""

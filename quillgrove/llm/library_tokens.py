@@ -1,22 +1,51 @@
-"""Ids of whole texts by the ``tokenizers`` library, through the chunk cache."""
+"""Ids of whole texts by the ``tokenizers`` library, through the chunk cache.
+
+The library's cost for each call on a short chunk is as high as for its
+letters, so chunks are encoded many at a time, joined by a separator that is a
+pre-token of its own, and the ids are cut at the separator's ids.
+"""
 
 from __future__ import annotations
 
 import os
-import struct
 
 import numpy as np
 
-from .chunks import ChunkEncoder
+from .chunks import ChunkEncoder, closed
+
+#: A line feed where white space has ids; else a rare digit, as words of the
+#: tokenizers without ids for white space never hold more than one digit.
+SEPARATORS = ("\n", " \u2079 ")
+_PROBE = ["a", " b", "7", " 8", "!", " ?", "\u00e9", " x-1.", "'s", " '"]
+GROUP = 400
 
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
-_FORMATS = [struct.Struct(f"<{n}I") for n in range(65)]
+def _cut_at(ids: np.ndarray, mark: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of what lies between the places of ``mark``."""
+    n = len(ids) - len(mark) + 1
+    hit = np.ones(max(n, 0), bool)
+    for k, x in enumerate(mark):
+        hit &= ids[k : k + n] == x
+    at = np.flatnonzero(hit)
+    return np.concatenate([[0], at + len(mark)]), np.concatenate([at, [len(ids)]])
 
 
-def pack(ids: list[int]) -> bytes:
-    return _FORMATS[len(ids)].pack(*ids)
+def joined(encode, chunks: list[str], separator: str, mark: list[int]) -> list[bytes]:
+    """Ids of each chunk.  A group that isn't cut into as many parts as it has
+    chunks is encoded chunk by chunk."""
+    out: list[bytes] = []
+    groups = [chunks[i : i + GROUP] for i in range(0, len(chunks), GROUP)]
+    for group, found in zip(groups, encode([separator.join(g) for g in groups]), strict=True):
+        ids = np.array(found.ids, "<u4")
+        begin, end = _cut_at(ids, mark)
+        if len(begin) == len(group):
+            blob = ids.tobytes()
+            out += [blob[a:b] for a, b in zip((begin * 4).tolist(), (end * 4).tolist(), strict=True)]
+        else:
+            out += [np.array(x.ids, "<u4").tobytes() for x in encode(group)]
+    return out
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -31,9 +60,17 @@ def encoder(path: str) -> ChunkEncoder:
         tokenizer.no_padding()
         tokenizer.no_truncation()
 
+        encode = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        alone = [np.array(x.ids, "<u4").tobytes() for x in encode(_PROBE)]
+        marks = {sep: encode([sep])[0].ids for sep in SEPARATORS}
+        found = next((sep for sep, mark in marks.items() if mark and joined(encode, _PROBE, sep, mark) == alone), None)
+
         def encode_many(chunks: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() if len(x) > 64 else pack(x.ids) for x in found]
+            single = [c for c in chunks if found is None or not closed(c) or found.strip(" ") in c]
+            extra = dict(zip(single, [np.array(x.ids, "<u4").tobytes() for x in encode(single)], strict=True))
+            rest = [c for c in chunks if c not in extra] if extra else chunks
+            many = iter(joined(encode, rest, found, marks[found]) if rest else [])
+            return [extra[c] if c in extra else next(many) for c in chunks] if extra else list(many)
 
-        _LOADED[path] = ChunkEncoder(encode_many)
+        _LOADED[path] = ChunkEncoder(encode_many, 320_000)
     return _LOADED[path]
