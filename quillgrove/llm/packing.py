@@ -9,7 +9,8 @@ histogram of lengths alone: at most ``capacity`` counts, whatever the corpus.
 
 The plan gives each length ranges of ranks, and each range its sequences; a
 piece finds its place from its rank among pieces of its length.  Ranks come
-from counts by block of rows, so no task sees all pieces of a common length.
+from counts by block of rows within parts of the input, so no task sees all
+pieces, or all blocks, of a common length.
 
 Edge cases: a null or empty text is one piece with the end id only.  Only
 documents over the capacity are cut, their first piece taking what is over.
@@ -132,7 +133,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACI
         encode, block = encoder(path), TaskContext.get().partitionId() << 24
         for batch in batches:
             sizes, texts = column(batch, "text"), batch.column(1).fill_null("")
-            for i, j in slices(sizes, 8_000_000):
+            for i, j in slices(sizes, 4_000_000):
                 keys, rows, seen = batch.column(0).slice(i, j - i), [], {}
                 for d, ids in enumerate(encode(texts.slice(i, j - i).to_pylist())):
                     ids += end
@@ -158,8 +159,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY,
     blocks = pieces.groupBy("block", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     shared = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # Ranks of blocks in two levels, so that no task sees every block of a common length.
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    blocks = blocks.withColumn("part", F.shiftright("block", 24))
+    parts = blocks.groupBy("length", "part").agg(F.sum("n").alias("n")).select("length", "part", total(before("length", "part")).alias("base"))
+    blocks = blocks.join(parts, ["length", "part"]).select("block", "length", (F.col("base") + total(before("length", "part", "block"))).alias("before"))
     ranked = pieces.join(blocks, ["block", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("block", "before", "nth")
     names = ranked.columns
 
