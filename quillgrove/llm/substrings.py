@@ -57,7 +57,7 @@ def _anchors(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _source(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """``row`` tells texts of one key apart."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"), *carry)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.hash(text).cast("long").alias("row"), *carry)
 
 
 def _shared_anchors(source: DataFrame) -> DataFrame:
@@ -141,10 +141,11 @@ def _window_rows(words: Words, hashes: np.ndarray, starts: np.ndarray, keys: pa.
     first = mix(windows(hashes, WINDOW)[starts]).view(np.int64)
     second = (mix(windows(hashes, WINDOW, _SECOND)[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     at = pa.array(own[starts])
-    return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), keys.take(at), rows.take(at), pa.array(place[starts].astype(np.int32))], names=["h", "g", "doc_id", "row", "pos"])
+    both = rows.take(at).to_numpy() << 32 | place[starts]  # one field of a shuffled row
+    return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), keys.take(at), pa.array(both)], names=["h", "g", "doc_id", "place"])
 
 
-_WINDOWS = "h long, g int, doc_id long, row long, pos int"
+_WINDOWS = "h long, g int, doc_id long, place long"
 
 
 def _windows_by_bloom(source: DataFrame, shared: DataFrame, count: int) -> DataFrame:
@@ -203,7 +204,7 @@ def _removed(seen: DataFrame, scratch: Scratch) -> DataFrame:
     """``(doc_id, row, ranges)`` of the texts that lose words."""
     first = seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first")
     first = scratch.store(first, "first")
-    late = seen.join(first, ["h", "g"]).filter("doc_id > first").select("doc_id", "row", "pos")
+    late = seen.join(first, ["h", "g"]).filter("doc_id > first").select("doc_id", F.shiftright("place", 32).alias("row"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
