@@ -2,14 +2,20 @@
 
 Iterative quantisation (Gong and Lazebnik, 2011) learns, on a bounded sample
 of distinct vectors, rotations of the principal axes whose signs are balanced
-binary codes.  A code is cut into ``TABLES`` substrings, each the key of one
-Hamming table (Norouzi et al., 2012): codes that differ in fewer bits than
-there are tables share a bucket.  Substrings grow with the logarithm of the
-number of vectors, so buckets keep their size.  Pairs of a bucket are then
-reranked by the cosine of the original vectors in double precision; a pair
-that shares several tables counts in the first of them only.  Substrings are
-shortened until the tables find 99 % of the sample's own links, by brute force
-over the sample.
+binary codes.  A code is cut into substrings, each the key of one Hamming
+table (Norouzi et al., 2012): codes that differ in fewer bits than there are
+tables share a bucket.  Substrings grow with the logarithm of the number of
+vectors, so buckets keep their size.  Pairs of a bucket are then reranked by
+the cosine of the original vectors in double precision; a pair that shares
+several tables counts in the first of them only.
+
+Longer substrings miss more links, so tables are added (``TABLES`` to
+``MOST_TABLES``), and then substrings shortened, until 99 % of the links are
+found in each of ``BANDS`` bands of cosine.  The links held against the tables
+exist at any number of vectors: ``ASKED`` vectors are compared with all others
+by brute force, and the sample's vectors with copies of them turned by exactly
+the least cosine in random directions.  Where the sample is the whole table, or the
+tables would compare as many, all pairs are compared.
 
 Equal vectors are one class, and classes carry their sizes.  Buckets are cut
 into tiles of ``BLOCK`` by ``BLOCK``; a tile gives each vector's number of
@@ -33,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, by_group, ship, tiles
 from .components import components
 
-TABLES = 16
+TABLES, MOST_TABLES = 16, 64
+BANDS, ASKED = 4, 1024
 BLOCK = 1024
 
 
@@ -52,7 +59,7 @@ class Quantiser:
         centred = sample - self.mean
         _, _, axes = np.linalg.svd(centred, full_matrices=False)
         self.maps = []
-        for _ in range(-(-TABLES * bits // len(axes))):
+        for _ in range(-(-MOST_TABLES * bits // len(axes))):
             x = centred @ axes.T
             turn = np.linalg.qr(rng.normal(size=(len(axes), len(axes))))[0]
             for _ in range(rounds):
@@ -60,33 +67,77 @@ class Quantiser:
                 turn = (left @ right).T
             self.maps.append(axes.T @ turn)
         # Bits in a shuffled order, so that a table mixes the rotations.
-        self.maps = np.concatenate(self.maps, 1)
-        self.maps = self.maps[:, rng.permutation(self.maps.shape[1])[: TABLES * bits]]
+        self.maps = np.concatenate([np.zeros((sample.shape[1], 0)), *self.maps], 1)
+        self.maps = self.maps[:, rng.permutation(self.maps.shape[1])[: MOST_TABLES * bits]]
+        self.tables, self.wide = MOST_TABLES if bits else 1, bits
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """``(vectors, TABLES)``: table number and substring in one integer."""
-        flags = ((_unit(x) - self.mean) @ self.maps >= 0).reshape(len(x), TABLES, -1)[:, :, : self.bits]
-        return flags @ (1 << np.arange(self.bits)) + (np.arange(TABLES) << 40)
-
-    def calibrate(self, sample: np.ndarray, cosine: float, least: float = 0.99, pairs: int = 1_000_000) -> None:
-        """Shortens substrings until tables find ``least`` of the sample's own
-        links, held against brute force; with none left every pair is met.  Of
-        each block's links at most ``pairs`` over the blocks are looked at."""
-        x, links = _unit(sample), []
-        blocks = range(0, len(x), 512)
-        for i in blocks:
-            a, b = np.nonzero(x[i : i + 512] @ x.T >= cosine)
-            a += i
-            a, b = a[a < b], b[a < b]
-            step = max(1, len(a) * len(blocks) // pairs)
-            links.append((a[::step], b[::step]))
-        a, b = (np.concatenate([k[n] for k in links]) for n in (0, 1))
-        while len(a) and self.bits > 0:
-            found = self.keys(sample)
-            hit = sum(int((found[a[i : i + 65536]] == found[b[i : i + 65536]]).any(1).sum()) for i in range(0, len(a), 65536))
-            if hit >= least * len(a):
+        """``(vectors, tables)``: table number and substring in one integer."""
+        flags = (_unit(x) - self.mean) @ self.maps[:, : self.tables * self.wide] >= 0
+        flags = flags.reshape(len(x), self.tables, self.wide)[:, :, : self.bits]
+        return flags @ (1 << np.arange(self.bits)) + (np.arange(self.tables) << 40)
+
+    def calibrate(self, sample: np.ndarray, cosine: float, links: tuple[np.ndarray, np.ndarray] | None = None, least: float = 0.99, seed: int = 12) -> None:
+        """Takes the fewest tables, and substrings as long as ``MOST_TABLES``
+        allow, that find ``least`` of the links in every band of cosine: of
+        ``links`` (pairs of vectors), and of ``sample`` with copies turned by
+        ``cosine``.  With no bits left every pair is met."""
+        x = _unit(sample[:4096])
+        aside = np.random.default_rng(seed).normal(size=x.shape)
+        aside -= (aside * x).sum(1, keepdims=True) * x
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+        low = float(np.clip(cosine, -1, 1))
+        pairs = [(x, low * x + np.sqrt(1 - low * low) * aside)]
+        if x.shape[1] == 1:
+            pairs = []  # there is no direction to turn to
+        if links is not None and len(links[0]):
+            a, b = map(_unit, links)
+            band = bands((a * b).sum(1), cosine)
+            pairs += [(a[band == k], b[band == k]) for k in np.unique(band)]
+        while pairs and self.bits > 0:
+            self.tables = MOST_TABLES
+            enough = TABLES
+            for a, b in pairs:
+                same = self.keys(a) == self.keys(b)
+                recall = np.logical_or.accumulate(same, 1).mean(0)  # by number of tables
+                enough = max(enough, int(np.searchsorted(recall, least)) + 1)
+            if enough <= MOST_TABLES:
+                self.tables = enough
                 break
             self.bits -= 1
+        if self.tables >= 1 << self.bits:  # all pairs are no more than those of the tables
+            self.bits, self.tables = 0, 1
+
+
+def bands(cosines: np.ndarray, cosine: float) -> np.ndarray:
+    """The band, 0 to ``BANDS - 1``, of each cosine from ``cosine`` to 1."""
+    return np.clip((cosines - cosine) / max(1 - cosine, 1e-9) * BANDS, 0, BANDS - 1).astype(int)
+
+
+def _sampled_links(classes: DataFrame, asked: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of ``asked`` vectors among all of ``classes``, found by brute
+    force in one pass: of each vector and band of cosine, one drawn by hash."""
+    width = asked.shape[1]
+    shared = classes.sparkSession.sparkContext.broadcast(_unit(asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        best, held = np.full(len(q) * BANDS, np.iinfo(np.int64).max), {}
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
+            raw, draw = _vectors(batch.column(0), width), batch.column(1).to_numpy()
+            near = q @ _unit(raw).T
+            a, b = np.nonzero((near >= cosine) & (near < 1 - 1e-12))  # not itself
+            place = a * BANDS + bands(near[a, b], cosine)
+            order = np.lexsort((draw[b], place))
+            first = order[np.unique(place[order], return_index=True)[1]]
+            for k in first[draw[b[first]] < best[place[first]]].tolist():
+                best[place[k]], held[int(place[k])] = draw[b[k]], raw[b[k]].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([int(best[k]) for k in held], pa.int64()), pa.array(list(held.values()), pa.binary())], names=["place", "draw", "vec"])
+
+    found = classes.filter(F.col("width") == width).select("vec", F.xxhash64("vec").alias("draw"))
+    found = found.mapInArrow(run, "place long, draw long, vec binary").groupBy("place").agg(F.min_by("vec", "draw").alias("vec")).toArrow()
+    at = found.column("place").to_numpy() // BANDS  # ASKED * BANDS rows at most
+    return asked[at], _vectors(found.column("vec").combine_chunks(), width)
 
 
 def _vectors(column: pa.Array, width: int) -> np.ndarray:
@@ -158,24 +209,30 @@ def embedding_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = every.filter("width > 0").groupBy("vec", "width").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
     classes = scratch.store(classes.filter("rep is not null"), "classes")
     total = classes.count()
-    bits = int(np.clip(np.ceil(np.log2(max(total, 2))) - 3, 8, 32))
+    bits = int(np.clip(np.ceil(np.log2(max(total, 2))) - 6, 8, 32))
     widths = [r["width"] for r in classes.select("width").distinct().collect()]  # lengths of vectors in use
     fitted = {}
     for w in widths:
         drawn = classes.filter(F.col("width") == w).orderBy(F.xxhash64("vec")).limit(sample).select("vec").toArrow().column(0)
         known = _vectors(drawn.combine_chunks(), w)
-        fitted[w] = Quantiser(known, bits)
-        fitted[w].calibrate(known, cosine)
+        if len(known) < sample:  # the whole table
+            fitted[w] = Quantiser(known, 0)
+            continue
+        fit, apart = known[::2], known[1::2]  # codes suit the vectors that they were fitted to better than others
+        fitted[w] = Quantiser(fit, bits)
+        fitted[w].calibrate(apart, cosine, _sampled_links(classes, apart[:ASKED], cosine))
     shared = spark.sparkContext.broadcast(fitted)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             width = batch.column(1).to_numpy()
-            keys = np.empty((len(batch), TABLES), np.int64)
+            keys = [None] * len(batch)
             for w in np.unique(width).tolist():
                 own = np.flatnonzero(width == w)
-                keys[own] = shared.value[w].keys(_vectors(batch.column(0).take(pa.array(own)), w)) + (w << 48)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * TABLES + 1, TABLES, dtype=np.int32)), pa.array(keys.ravel()))
+                found = shared.value[w].keys(_vectors(batch.column(0).take(pa.array(own)), w)) + (w << 48)
+                for n, k in enumerate(own.tolist()):
+                    keys[k] = found[n]
+            flat = pa.array(keys, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), flat], names=["rep", "size", "vec", "keys"])
 
     coded = scratch.store(classes.mapInArrow(code, "rep long, size long, vec binary, keys array<long>"), "coded")

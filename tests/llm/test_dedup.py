@@ -193,3 +193,41 @@ def test_vectors_in_several_tiles(spark, monkeypatch):
     rows = [(i, (base + rng.normal(size=16) * 0.01).tolist()) for i in range(50)]
     found = vectors.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert all(r["n_links"] == 49 and r["component_id"] == 0 for r in found)
+
+
+def turned(rng, x, cosine):
+    """Copies of vectors ``x`` at a cosine, in random directions."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    v = rng.normal(size=x.shape)
+    v -= (v * x).sum(1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine * cosine) * v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("bits", [14, 17, 21])
+def test_vector_tables_find_links_that_the_sample_does_not_hold(bits):
+    rng = np.random.default_rng(bits)
+    sample, apart, fresh = (rng.normal(size=(n, 64)) for n in (4096, 4096, 3000))  # no two are alike
+    model = vectors.Quantiser(sample, bits)
+    model.calibrate(apart, 0.9)
+    for cosine in (0.9, 0.92, 0.95):
+        assert (model.keys(fresh) == model.keys(turned(rng, fresh, cosine))).any(1).mean() > 0.98
+
+
+def test_vector_tables_are_held_against_links_of_all_vectors(spark):
+    rng = np.random.default_rng(2)
+    asked = rng.normal(size=(50, 16))
+    near = np.concatenate([turned(rng, asked[:20], 0.91), turned(rng, asked[:20], 0.99)])
+    rows = [(bytearray(v.tobytes()), 16) for v in np.concatenate([asked, near, rng.normal(size=(300, 16))])]
+    a, b = vectors._sampled_links(spark.createDataFrame(rows, "vec binary, width int"), asked, 0.9)
+    cosines = (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)
+    assert len(a) >= 40 and (cosines >= 0.9).all()
+    assert {0, vectors.BANDS - 1} <= set(vectors.bands(cosines, 0.9).tolist())
+
+
+def test_vector_tables_beyond_the_sample(spark):
+    rng = np.random.default_rng(3)
+    first = rng.normal(size=(700, 32))
+    every = np.concatenate([first, turned(rng, first, 0.905)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r for r in vectors.embedding_dedup(df, sample=128).collect()}
+    assert np.mean([found[i]["component_id"] == found[i + 700]["component_id"] for i in range(700)]) > 0.98
