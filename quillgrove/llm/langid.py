@@ -8,7 +8,8 @@ backpropagation through time with Adam on a bounded sample (``per_lang``
 documents of each language, drawn by hash).
 
 Edge cases: null texts and texts without a letter give ``und`` with score 0.
-A null lang is never learned from.  With no language to learn every text is
+A null lang is never learned from, nor is an empty text; a language that has
+only such texts is not learned, and any other is, however short its texts.  With no language to learn every text is
 ``und``; with one, that one wins.  Repeated rows are labelled alike; other
 columns are not read.
 """
@@ -118,11 +119,13 @@ class Net:
 
 
 def train(texts: list[bytes], labels: list[str], steps: int = 300, batch: int = 96, seed: int = 5) -> Net:
-    """Adam over random segments, every language drawn equally often."""
-    langs = sorted(set(labels))
+    """Adam over random segments, every language drawn equally often.  Texts
+    under 8 bytes serve only a language that has no longer ones."""
+    langs = sorted({x for t, x in zip(texts, labels, strict=True) if t})
     net, rng = Net(langs), np.random.default_rng(seed)
-    pools = [[t for t, x in zip(texts, labels, strict=True) if x == lang and len(t) >= 8] for lang in langs]
-    if len(langs) < 2 or not all(pools):
+    own = [[t for t, x in zip(texts, labels, strict=True) if x == lang and t] for lang in langs]
+    pools = [[t for t in pool if len(t) >= 8] or pool for pool in own]
+    if len(langs) < 2:
         return net
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     for i in range(1, steps + 1):
@@ -174,7 +177,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Trains on about ``per_lang`` documents of each language, chosen by hash
     among the rows whose ``crc32(key) mod 4`` is not 2."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"), F.col(lang).alias("l"))
-    rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold("k", 4) != 2))
+    rows = rows.filter(F.col("l").isNotNull() & (F.length("t") > 0) & (fold("k", 4) != 2))
     counts = rows.groupBy("l").count().collect()  # one row a language
     draw = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / float(1 << 40)
     wanted = F.lit(False)

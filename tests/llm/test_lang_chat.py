@@ -40,6 +40,16 @@ def test_language_without_anything_to_learn(spark):
     assert {r["lang_pred"] for r in langid.language_id(awkward(spark), one).collect()} == {"xx", "und"}
 
 
+def test_a_language_of_short_or_empty_texts_spoils_no_other(spark):
+    en, de = b"the house and the garden of the king ", "das haus und der garten des königs über ".encode()
+    net = langid.train([en * 9, de * 9, b"hi", b""], ["en", "de", "xx", "yy"], steps=150)
+    assert net.langs == ["de", "en", "xx"]
+    df = spark.createDataFrame([(1, en.decode() * 3), (2, de.decode() * 3)], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.language_id(df, net).orderBy("doc_id").collect()] == ["en", "de"]
+    rows = [(i, (en if i % 2 else de).decode() * 4, "en" if i % 2 else "de") for i in range(40)] + [(i, "", "yy") for i in range(40, 60)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["de", "en"]
+
+
 def test_gradients_of_the_recurrent_network(monkeypatch):
     net = langid.Net(["a", "b", "c"], hidden=4)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
