@@ -42,16 +42,41 @@ def embed_one(text: str, provider: Provider) -> list[float]:
     return provider([text])[0]
 
 
+def parts(text: str) -> list[str]:
+    """The whole text in pieces of at most ``MAX_CHARS``, cut after white space
+    where the second half of a piece has any."""
+    out, at = [], 0
+    while len(text) - at > MAX_CHARS:
+        end = at + MAX_CHARS
+        cut = next((i for i in range(end, end - MAX_CHARS // 2, -1) if text[i - 1].isspace()), end)
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def _combined(vectors: list[list[float]], sizes: list[int]) -> list[float]:
+    """One vector for the pieces of a text: their mean by number of characters,
+    as long as the pieces' vectors are on average."""
+    if len(vectors) == 1:
+        return vectors[0]
+    x, share = np.array(vectors, float), np.array(sizes, float) / sum(sizes)
+    mean = share @ x
+    return (mean * (share @ np.linalg.norm(x, axis=1)) / max(float(np.linalg.norm(mean)), 1e-12)).tolist()
+
+
 def with_embedding(rows: DataFrame, content: str, provider: Provider) -> DataFrame:
-    """Adds ``embedding`` of a text column, a batch of texts a call."""
+    """Adds ``embedding`` of a text column, a batch of texts a call.  Texts of
+    more than ``MAX_CHARS`` characters go to the provider in pieces."""
     ship(rows.sparkSession)
     at = rows.columns.index(content)
     schema = rows.select("*", F.lit(None).cast("array<float>").alias("embedding")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "")[:MAX_CHARS] for t in batch.column(at).to_pylist()]
-            found = [v for i in range(0, len(texts), BATCH) for v in provider(texts[i : i + BATCH])]
+            cut = [parts(t or "") for t in batch.column(at).to_pylist()]
+            texts = [p for ps in cut for p in ps]
+            made = iter([v for i in range(0, len(texts), BATCH) for v in provider(texts[i : i + BATCH])])
+            found = [_combined([next(made) for _ in ps], [len(p) for p in ps]) for ps in cut]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
 
     return rows.mapInArrow(run, schema)

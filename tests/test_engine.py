@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,21 @@ def test_embedding_provider():
         embed_one("x" * 50_001, p)
 
 
+def test_long_texts_are_embedded_whole(spark):
+    from quillgrove.functions.embedding import MAX_CHARS, parts, with_embedding
+
+    p = hashing_provider()
+    long = "alpha " * 10_000 + "omega " * 20_000
+    for text in (long, "x" * 120_000, "", "short"):
+        assert "".join(parts(text)) == text and max(map(len, parts(text))) <= MAX_CHARS
+    assert all(x.endswith(" ") for x in parts(long))
+    df = spark.createDataFrame([(1, long), (2, "alpha beta"), (3, None)], "k long, content string")
+    found = {r["k"]: np.array(r["embedding"]) for r in with_embedding(df, "content", p).collect()}
+    assert abs(np.linalg.norm(found[1]) - 1) < 1e-5
+    assert found[1] @ np.array(p(["omega"])[0]) > 0.8  # the first 50,000 characters hold no such word
+    assert np.allclose(found[2], p(["alpha beta"])[0]) and not found[3].any()
+
+
 def test_stream_counts_survive_a_replayed_batch(spark, sf, tmp_path):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf)
