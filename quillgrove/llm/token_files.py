@@ -132,11 +132,27 @@ class Shard:
         return [self.ids(r) for r in range(first, first + n)]
 
 
-def write(docs: DataFrame, to: str, path: str, end_id: int = 2, width: int = 2, key: str = "doc_id", text: str = "text", shards: int | None = None) -> None:
+def id_width(path: str, end_id: int = 2) -> int:
+    """Bytes of an id: 2 where every id of the tokenizer fits, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max([end_id, *Tokenizer.from_file(path).get_vocab().values()]) < 1 << 16 else 4
+
+
+def packed(ids: bytes, width: int) -> bytes:
+    """32-bit ids in ``width`` bytes each; an error for one that doesn't fit."""
+    x = np.frombuffer(ids, "<u4")
+    if width < 4 and len(x) and int(x.max()) >> 8 * width:
+        raise ValueError(f"an id does not fit in {width} bytes")
+    return x.astype(f"<u{width}").tobytes()
+
+
+def write(docs: DataFrame, to: str, path: str, end_id: int = 2, width: int | None = None, key: str = "doc_id", text: str = "text", shards: int | None = None) -> None:
     """Encodes whole texts, ``end_id`` after each, into files in folder ``to``."""
     spark = docs.sparkSession
     ship(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = width or id_width(path, end_id)
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +160,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = 2, width: int = 2,
         for batch in batches:
             sizes, texts = column(batch, "text"), batch.column(1).fill_null("")
             for i, j in slices(sizes, 4_000_000):
-                out = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in encode(texts.slice(i, j - i).to_pylist())]
+                out = [packed(x, width) + end for x in encode(texts.slice(i, j - i).to_pylist())]
                 counts += [len(x) // width for x in out]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
             n_null += batch.column(0).null_count

@@ -215,3 +215,15 @@ def test_perfect_hash_is_minimal(n):
     keys = np.random.default_rng(n).choice(1 << 62, n, replace=False).astype(np.uint64)
     h = token_files.PerfectHash.build(keys)
     assert sorted(h.slots(keys).tolist()) == list(range(n))
+
+
+def test_width_of_ids_follows_the_vocabulary(tmp_path):
+    from tokenizers import models
+
+    Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0")).save(str(tmp_path / "large.json"))
+    assert token_files.id_width(str(tmp_path / "large.json")) == 4
+    assert token_files.id_width(public_tokenizers.path("word_bpe_49k.json")) == 2
+    ids = np.array([1, 69_999], "<u4").tobytes()
+    assert token_files.packed(ids, 4) == ids
+    with pytest.raises(ValueError):
+        token_files.packed(ids, 2)
