@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
+from .chunks import ChunkEncoder, blobs, spans
 from .common import extended, ship
 from .hashing import column, slices
 
@@ -211,12 +211,17 @@ class BytePairs:
             out[k] = np.array(self.encode_one(words[k]), "<u4").tobytes()
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, one after another, and their numbers."""
         split = self.pattern.findall
         parts = [split(c) for c in chunks]
-        names = list(dict.fromkeys(p for own in parts for p in own))
-        ids = dict(zip(names, self.encode_words([x.encode() for x in names]), strict=True))
-        return [ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own]) for own in parts]
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = pa.array([p for own in parts for p in own], pa.string()).dictionary_encode()
+        words = self.encode_words([x.encode() for x in flat.dictionary.to_pylist()])
+        ids, size = np.frombuffer(b"".join(words), "<u4"), np.fromiter(map(len, words), np.int64, len(words)) // 4
+        place = flat.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[place])])
+        return ids[spans((np.cumsum(size) - size)[place], size[place])], np.diff(ends[np.concatenate([[0], np.cumsum(count)])])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
@@ -241,11 +246,9 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder = _loaded(path, pattern)
         for batch in batches:
-            sizes = column(batch, "text")
-            texts = batch.column(1).fill_null("")
-            for i, j in slices(sizes, 4_000_000):
-                ids = encoder(texts.slice(i, j - i).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            texts = column(batch, "text")
+            for i, j in slices(texts, 4_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), blobs(*encoder.encode(texts.slice(i, j - i)))], names=["doc_id", "ids"])
 
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, ids binary")

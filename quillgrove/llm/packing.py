@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import blobs
 from .common import Scratch, extended, ship
 from .hashing import column, slices
 from .library_tokens import encoder
@@ -116,34 +117,40 @@ def places(planned: list[tuple[Bin, int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _cut(total: int, capacity: int) -> list[tuple[int, int]]:
-    """``(start, length)`` of a document's pieces."""
-    first = total % capacity or min(total, capacity)
-    starts = [0, *range(first, total, capacity)]
-    return [(a, b - a) for a, b in zip(starts, [*starts[1:], total], strict=True)]
+def _cut(total: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """``document, piece, start, length`` of the pieces of documents of
+    ``total`` ids each: the first piece takes what is over."""
+    count = -(-total // capacity)
+    doc = np.repeat(np.arange(len(total)), count)
+    piece = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+    over = (total - (count - 1) * capacity)[doc]
+    start = np.where(piece > 0, over + (piece - 1) * capacity, 0)
+    return doc, piece, start, np.where(piece > 0, capacity, over)
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces of every document.  ``block`` and ``nth`` number the pieces
     of a length within blocks of rows."""
     ship(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block = encoder(path), TaskContext.get().partitionId() << 24
+        encode, block = encoder(path).encode, TaskContext.get().partitionId() << 24
         for batch in batches:
-            sizes, texts = column(batch, "text"), batch.column(1).fill_null("")
-            for i, j in slices(sizes, 4_000_000):
-                keys, rows, seen = batch.column(0).slice(i, j - i), [], {}
-                for d, ids in enumerate(encode(texts.slice(i, j - i).to_pylist())):
-                    ids += end
-                    for piece, (a, n) in enumerate(_cut(len(ids) // 4, capacity)):
-                        part = ids[4 * a : 4 * (a + n)]
-                        rows.append((d, piece, a, n, zlib.crc32(part), seen.get(n, 0), part if with_ids else None))
-                        seen[n] = seen.get(n, 0) + 1
-                cols = list(zip(*rows, strict=True))
-                arrays = [keys.take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array([block] * len(rows), pa.int64()), pa.array(cols[5], pa.int64())]
-                arrays += [pa.array(cols[6], pa.binary())] if with_ids else []
+            texts = column(batch, "text")
+            for i, j in slices(texts, 4_000_000):
+                ids, ends = encode(texts.slice(i, j - i))
+                ids = np.insert(ids, ends[1:], end_id).astype("<u4", copy=False)
+                ends = ends + np.arange(len(ends))
+                doc, piece, start, length = _cut(np.diff(ends), capacity)
+                at = ends[:-1][doc] + start
+                parts = blobs(ids, np.concatenate([at, ends[-1:]]))
+                crc = [zlib.crc32(x.as_buffer()) for x in parts]
+                order = np.argsort(length, kind="stable")  # numbers within a length
+                same = np.concatenate([[True], length[order][1:] != length[order][:-1]])
+                nth = np.empty(len(order), np.int64)
+                nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(same, np.arange(len(order)), 0))
+                arrays = [batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), block)), pa.array(nth)]
+                arrays += [parts] if with_ids else []
                 block += 1
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "block", "nth", *["ids"] * with_ids])
 

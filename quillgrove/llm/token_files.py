@@ -2,41 +2,51 @@
 
 A shard file holds, in ascending key order, the raw ids of its documents
 (little-endian, 16 bits each where the vocabulary allows, else 32), one line
-feed after each document; then the shard's index, and a footer with the
-index's length.  The index is an ``npz`` blob: a minimal perfect hash (levels
-of bit arrays with rank counts, after Limasset et al., 2017) from keys to
-slots; each slot stores a 32-bit fingerprint of its key and the key's first
-record and number of records.  A key is found in constant time, and a key that
-isn't there is told apart by its fingerprint but for one in 2**32.
+feed after each document; then the keys and numbers of ids of its records (for
+scans only), the index, and a footer of fixed length with the places of both
+and the shard's least and greatest key.  The index is a minimal perfect hash
+(levels of bit arrays with rank counts, after Limasset et al., 2017) from keys
+to slots; each slot stores a 32-bit fingerprint of its key, the byte offset
+and number of ids of its first record and its number of records.  ``TokenFiles``
+reads footers and indexes by range and then any key's ids by one range read at
+the slot's offset, in constant time; a key that isn't there is told apart by
+its fingerprint but for one in 2**32.
 
 Files are written by Spark's own text writer (which copies bytes as they are)
 and read by ``binaryFile``, so they can live in any store that Spark reaches,
 and task commits keep them whole when executors are lost.  A shard is one
-range of keys; take enough ``shards`` for each to be well below 2 GB.
-
-Edge cases: null and empty texts are records with the end id only.  Rows with
-a null key come first and are not indexed.  Repeated keys are neighbouring
-records of one slot, ordered by text.  An empty table gives files without
-records.  Other columns are not read.
+range of keys; there are enough for about ``shard_bytes`` of text in each.  Rows
+of one key, or without one, are dealt to several shards by the start of
+their texts.
+
+Edge cases: null and empty texts are records with the end id only.  Very long
+texts are encoded whole.  Rows with a null key come first and are not indexed.
+Repeated keys are neighbouring records, ordered by text; a shard has one slot for
+those that it holds.  An empty table gives files without records.  Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chunks import blobs, spans
 from .common import Scratch, ship
 from .hashing import column, mix, slices
 from .library_tokens import encoder
 
-MAGIC = b"QGTOKEN1"
-_FOOTER = struct.Struct("<Q8s")
+MAGIC = b"QGTOKEN2"
+#: Begin and size of the keys and of the index, rows without a key, least and greatest key, bytes of an id.
+_FOOTER = struct.Struct("<QQQQQqqQ8s")
+PREFIX = 32
 _LEVEL = 0x9E3779B97F4A7C15
 
 
@@ -87,49 +97,112 @@ def build_index(keys: np.ndarray, n_null: int, counts: np.ndarray, width: int) -
     names = names.view(np.uint64) if len(names) else np.zeros(0, np.uint64)
     perfect = PerfectHash.build(names)
     slots = perfect.slots(names)
-    mark, record, run = np.zeros(len(names), np.uint32), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-    mark[slots], record[slots], run[slots] = _fingerprint(names), first + n_null, times
+    begins = (np.cumsum(counts) - counts) * width + np.arange(len(counts))  # a line feed after each record
+    # of a key with several records, the numbers of ids of the others
+    later = np.concatenate([[False], keys[1:] == keys[:-1]])[: len(keys)]
+    arrays = {"mark": _fingerprint(names), "offset": begins[n_null:][first], "count": counts[n_null:][first], "run": times, "more": np.cumsum(times - 1) - (times - 1)}
+    held = {k: np.zeros(len(names), v.dtype) for k, v in arrays.items()}
+    for k, v in arrays.items():
+        held[k][slots] = v
     out = io.BytesIO()
-    np.savez(out, sizes=perfect.sizes, bits=perfect.bits, mark=mark, record=record, run=run, keys=keys, counts=counts, head=np.array([n_null, width]))
+    np.savez(out, sizes=perfect.sizes, bits=perfect.bits, others=counts[n_null:][later], **held)
     return out.getvalue()
 
 
-def footer(index: bytes) -> bytes:
-    return _FOOTER.pack(len(index), MAGIC)
+def closing(keys: np.ndarray, n_null: int, counts: np.ndarray, width: int) -> list[bytes]:
+    """The lines after the records: keys and numbers of ids, index, footer."""
+    listed, index = keys.astype("<i8").tobytes() + counts.astype("<u4").tobytes(), build_index(keys, n_null, counts, width)
+    at = int(counts.sum()) * width + len(counts)
+    least, greatest = (int(keys[0]), int(keys[-1])) if len(keys) else (0, -1)
+    return [listed, index, _FOOTER.pack(at, len(listed), at + len(listed) + 1, len(index), n_null, least, greatest, width, MAGIC)]
 
 
 class Shard:
-    """One file, in memory."""
+    """One file, of which ``fetch(begin, size)`` reads a range."""
 
-    def __init__(self, content: bytes):
-        length, magic = _FOOTER.unpack(content[-_FOOTER.size - 1 : -1])
+    def __init__(self, content: bytes | None = None, fetch: Callable[[int, int], bytes] | None = None, size: int = 0):
+        self.fetch = fetch or (lambda begin, n: content[begin : begin + n])
+        last = (size if content is None else len(content)) - _FOOTER.size - 1
+        *places, self.n_null, self.least, self.greatest, self.width, magic = _FOOTER.unpack(self.fetch(last, _FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        end = len(content) - _FOOTER.size - 2
-        with np.load(io.BytesIO(content[end - length : end])) as x:
-            self.perfect = PerfectHash(x["sizes"], x["bits"])
-            self.mark, self.record, self.run, self.keys, self.counts = (x[k] for k in ("mark", "record", "run", "keys", "counts"))
-            self.n_null, self.width = x["head"].tolist()
-        self.content, self.starts = content, np.concatenate([[0], np.cumsum(self.counts)])
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First record and number of records of each key; -1 and 0 if absent."""
+        self._keys, self._index, self._slots = places[:2], places[2:], None
+
+    def slots(self) -> tuple[PerfectHash, dict[str, np.ndarray]]:
+        """The index, read once."""
+        if self._slots is None:
+            with np.load(io.BytesIO(self.fetch(*self._index))) as x:
+                self._slots = PerfectHash(x["sizes"], x["bits"]), {k: x[k] for k in ("mark", "offset", "count", "run", "more", "others")}
+        return self._slots
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 if it is absent."""
+        perfect, held = self.slots()
         keys = np.asarray(keys, np.int64).view(np.uint64)
-        slot = self.perfect.slots(keys)
+        slot = perfect.slots(keys)
         ok = slot >= 0
-        ok[ok] = self.mark[slot[ok]] == _fingerprint(keys[ok])
-        slot = np.where(ok, slot, 0)
-        empty = not len(self.record)
-        return (np.full(len(keys), -1), np.zeros(len(keys), int)) if empty else (np.where(ok, self.record[slot], -1), np.where(ok, self.run[slot], 0))
+        ok[ok] = held["mark"][slot[ok]] == _fingerprint(keys[ok])
+        return np.where(ok, slot, -1)
 
-    def ids(self, record: int) -> np.ndarray:
-        """The ids of a record, read at its offset."""
-        at = int(self.starts[record]) * self.width + record
-        return np.frombuffer(self.content, f"<u{self.width}", int(self.counts[record]), at)
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of a key's records, each by a range read at its offset."""
+        slot = int(self.find(np.array([key]))[0]) if self.least <= key <= self.greatest else -1
+        if slot < 0:
+            return []
+        _, held = self.slots()
+        at, more = int(held["offset"][slot]), int(held["more"][slot])
+        out = []
+        for n in (int(held["count"][slot]), *held["others"][more : more + int(held["run"][slot]) - 1].tolist()):
+            out.append(np.frombuffer(self.fetch(at, n * self.width), f"<u{self.width}"))
+            at += n * self.width + 1
+        return out
+
+    def records(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(keys of the records after those without one, numbers of ids,
+        byte offsets)``; an error where the index says otherwise."""
+        listed = self.fetch(*self._keys)
+        n = (len(listed) - 4 * self.n_null) // 12
+        keys, counts = np.frombuffer(listed, "<i8", n), np.frombuffer(listed, "<u4", n + self.n_null, 8 * n).astype(np.int64)
+        begins = (np.cumsum(counts) - counts) * self.width + np.arange(len(counts))
+        names, first, times = np.unique(keys, return_index=True, return_counts=True)
+        slot, held = self.find(names), self.slots()[1]
+        if (slot < 0).any() or (held["offset"][slot] != begins[self.n_null :][first]).any() or (held["run"][slot] != times).any():
+            raise ValueError("index and records disagree")
+        return keys, counts, begins
+
+
+class TokenFiles:
+    """Keyed access to a folder of shards in any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+        def reader(file):
+            def fetch(begin: int, size: int) -> bytes:
+                stream = fs.open(file)
+                try:
+                    stream.seek(begin)
+                    return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size)) if size else b""
+                finally:
+                    stream.close()
+
+            return fetch
+
+        found = sorted((f.getPath().getName(), f) for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
+        shards = (Shard(fetch=reader(f.getPath()), size=f.getLen()) for _, f in found)
+        self.shards = [s for s in shards if s.least <= s.greatest]  # in ascending order, as they were dealt
+        self._greatest = [s.greatest for s in self.shards]
 
     def get(self, key: int) -> list[np.ndarray]:
-        first, n = (int(x[0]) for x in self.find(np.array([key])))
-        return [self.ids(r) for r in range(first, first + n)]
+        """The ids of each record of ``key``, from the shards whose range holds it."""
+        out = []
+        for s in self.shards[bisect_left(self._greatest, key) :]:
+            if s.least > key:
+                break
+            out += s.get(key)
+        return out
 
 
 def id_width(path: str, end_id: int = 2) -> int:
@@ -141,58 +214,63 @@ def id_width(path: str, end_id: int = 2) -> int:
 
 def packed(ids: bytes, width: int) -> bytes:
     """32-bit ids in ``width`` bytes each; an error for one that doesn't fit."""
-    x = np.frombuffer(ids, "<u4")
-    if width < 4 and len(x) and int(x.max()) >> 8 * width:
+    return narrow(np.frombuffer(ids, "<u4"), width).tobytes()
+
+
+def narrow(ids: np.ndarray, width: int) -> np.ndarray:
+    if width < 4 and len(ids) and int(ids.max()) >> 8 * width:
         raise ValueError(f"an id does not fit in {width} bytes")
-    return x.astype(f"<u{width}").tobytes()
+    return ids.astype(f"<u{width}")
 
 
-def write(docs: DataFrame, to: str, path: str, end_id: int = 2, width: int | None = None, key: str = "doc_id", text: str = "text", shards: int | None = None) -> None:
+def write(docs: DataFrame, to: str, path: str, end_id: int = 2, width: int | None = None, key: str = "doc_id", text: str = "text", shards: int | None = None, shard_bytes: int = 64 << 20) -> None:
     """Encodes whole texts, ``end_id`` after each, into files in folder ``to``."""
     spark = docs.sparkSession
     ship(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if shards is None:
+        total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, -(-total // shard_bytes))
     width = width or id_width(path, end_id)
-    end = np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, keys, counts, n_null = encoder(path), [], [], 0
+        encode, keys, counts, n_null = encoder(path).encode, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for batch in batches:
-            sizes, texts = column(batch, "text"), batch.column(1).fill_null("")
-            for i, j in slices(sizes, 4_000_000):
-                out = [packed(x, width) + end for x in encode(texts.slice(i, j - i).to_pylist())]
-                counts += [len(x) // width for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            texts = column(batch, "text")
+            for i, j in slices(texts, 4_000_000):
+                ids, ends = encode(texts.slice(i, j - i))
+                ids = narrow(np.insert(ids, ends[1:], end_id), width)
+                ends = ends + np.arange(len(ends))
+                counts.append(np.diff(ends))
+                yield pa.RecordBatch.from_arrays([blobs(ids, ends)], names=["value"])
             n_null += batch.column(0).null_count
             keys.append(batch.column(0).drop_null().to_numpy())
-        index = build_index(np.concatenate([np.zeros(0, np.int64), *keys]), n_null, np.array(counts, np.int64), width)
-        yield pa.RecordBatch.from_arrays([pa.array([index, footer(index)], pa.binary())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(closing(np.concatenate(keys), n_null, np.concatenate(counts), width), pa.binary())], names=["value"])
 
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = source.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = source.repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(to)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the files: ``shard``, ``doc_id``, ``start`` within the
-    shard, ``n_tokens`` and ``ids`` (32 bits each).  Each record is found
-    through its key's slot, whose fingerprint must agree."""
+    shard, ``n_tokens`` and ``ids`` (32 bits each).  Every key's slot must
+    name its record."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = Shard(content.as_buffer().to_pybytes())
-                names = np.unique(x.keys)
-                first, times = x.find(names)
-                if not (times > 0).all() or int(times.sum()) + x.n_null != len(x.counts):
-                    raise ValueError("index and records disagree")
-                records = np.concatenate([np.arange(x.n_null), np.repeat(first, times) + np.arange(len(x.keys)) - np.repeat(np.cumsum(times) - times, times)]).astype(np.int64)
-                keys = [*[None] * x.n_null, *np.repeat(names, times).tolist()]
-                for i in range(0, len(records), 2000):
-                    r = records[i : i + 2000]
-                    ids = [x.ids(k).astype("<u4").tobytes() for k in r.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(r), pa.int32()), pa.array(keys[i : i + 2000], pa.int64()), pa.array(x.starts[r]), pa.array(x.counts[r]), pa.array(ids, pa.binary())], names=["shard", "doc_id", "start", "n_tokens", "ids"])
+                x = Shard(memoryview(content.as_buffer()))
+                keys, counts, begins = x.records()
+                keys, starts = pa.concat_arrays([pa.nulls(x.n_null, pa.int64()), pa.array(keys)]), np.cumsum(counts) - counts
+                i = 0
+                while i < len(counts):
+                    j = max(i + 1, int(np.searchsorted(starts, starts[i] + 1_000_000)))  # about a million ids, or one record
+                    n = counts[i:j]
+                    at = spans(begins[i:j] - begins[i], n * x.width)
+                    ids = np.frombuffer(x.fetch(int(begins[i]), int(at[-1]) + 1), np.uint8)[at].view(f"<u{x.width}")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), keys.slice(i, j - i), pa.array(starts[i:j]), pa.array(n), blobs(ids.astype("<u4"), np.concatenate([[0], np.cumsum(n)]))], names=["shard", "doc_id", "start", "n_tokens", "ids"])
+                    i = j
 
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
     return files.mapInArrow(run, "shard int, doc_id long, start long, n_tokens long, ids binary")
@@ -203,10 +281,12 @@ def token_files(docs: DataFrame, path: str, to: str | None = None, end_id: int =
     among all ids, its ``n_tokens`` and ``ids_crc32``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
-    to = to or scratch.path("files")
+    written, to = not to, to or scratch.path("files")
     write(docs, to, path, end_id, key=key, text=text)
     found = read(spark, to).select("shard", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     found = scratch.store(found, "found")
+    if written:
+        scratch.drop("files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     bases = found.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return found.join(bases, "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
