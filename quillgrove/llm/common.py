@@ -87,6 +87,13 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now: it does so
+    when the driver collects the plans that wrote them, and a driver with
+    memory to spare puts that off while executors' disks fill."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(key: str, of: int):
     """``crc32`` of a key's text, modulo ``of``."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of))

@@ -3,25 +3,36 @@
 A word is removed if a window of ``WINDOW`` words that covers it also starts
 in a document with a smaller key.
 
-Only windows of ``ANCHOR`` words at positions whose remainder by ``PERIOD`` is
-in the difference cover are hashed corpus-wide: 6 positions of 31.  For any
-two positions some common shift below the period puts both in the cover, so
-two equal windows of ``WINDOW = ANCHOR + PERIOD - 1`` words always share an
-aligned anchor.  The match is then extended: every whole window around a
-shared anchor is hashed (96 bits) and held against the smallest key that has
-it.  Text without a shared anchor is never shuffled.
-
-Scale: both corpus-wide steps are counts with map-side pre-aggregation, so a
-passage that a third of all documents hold is summed up before any shuffle;
-the joins back are between written tables, which adaptive execution splits by
-skewed key.  Shared anchors go to the second pass as a Bloom filter while at
-most ``bloom_most`` of them are there (16 to 32 bits each: 32 MB at most), and
-by a join beyond; removed ranges likewise.  Both ways give the same rows.
+1. Only windows of ``ANCHOR`` words at positions whose remainder by ``PERIOD``
+   is in the difference cover are hashed corpus-wide: 6 positions of 31.  For
+   any two positions some common shift below the period puts both in the
+   cover, so two equal windows of ``WINDOW = ANCHOR + PERIOD - 1`` words always
+   share an aligned anchor.  Anchors that documents of different keys have
+   mark their places in each text; whole windows around a mark are candidates.
+2. Matches are extended over long stretches first.  A run of candidates is cut
+   where the hash of the next ``ANCHOR`` words says so, which is at the same
+   words in every copy, into segments of about ``STRIDE`` windows.  A segment
+   whose words a document with a smaller key also has is settled: all its
+   windows are found there.
+3. Windows outside settled segments are hashed one by one (96 bits) and held
+   against the smallest key that has each.  The document with the smallest key
+   that holds a window has no settled segment around it, as a still smaller
+   one would then hold the window too; so nothing is lost.
+
+Scale: there is one path for all sizes.  Anchors, segments and windows are
+aggregated before they are shuffled, so a passage that a third of all
+documents hold is summed up first; the joins back are between written tables,
+which adaptive execution splits by skewed key.  Texts travel three times, to
+their marks, to their settled segments and to what is removed; shuffle files
+of a finished step are freed before the next.  Nothing is broadcast by hand
+and nothing comes to the driver.
 
 Edge cases: null and empty texts have no words and lose none.  Texts shorter
-than a window lose nothing.  Rows of one key are one document's: they never
-remove each other's words, whatever their texts.  Rows with a null key are
-left whole.  Other columns are not read.
+than a window lose nothing; very long ones are whole, one at a time.  Rows of
+one key are one document's: they never remove each other's words, whatever
+their texts.  Rows with a null key are left whole.  An empty table gives an
+empty result.  Other columns are not read; a carried column may not have the
+name of a result column.
 """
 
 from __future__ import annotations
@@ -34,13 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, extended, ship
-from .hashing import Words, column, mix, raw, slices, windows
+from .common import Scratch, extended, release, ship
+from .hashing import BASE, Words, column, mix, powers, raw, slices, windows
 
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 WINDOW = 50
 ANCHOR = WINDOW - PERIOD + 1
+STRIDE = 16
+SLICE = 1_000_000
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -60,70 +73,39 @@ def _source(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.hash(text).cast("long").alias("row"), *carry)
 
 
-def _shared_anchors(source: DataFrame) -> DataFrame:
-    """Hashes of the anchors that documents of different keys have."""
+def _anchor_rows(source: DataFrame, placed: bool) -> DataFrame:
+    """Every anchor's hash with its document, and with its place if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = column(batch, "text"), batch.column(0)
-            for i, j in slices(texts):
+            texts = column(batch, "text")
+            for i, j in slices(texts, SLICE):
                 words = Words(*raw(texts.slice(i, j - i)))
                 at, found = _anchors(words, words.hashes())
-                own, _ = words.places()
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), keys.slice(i, j - i).take(pa.array(own[at]))], names=["h", "doc_id"])
-
-    found = source.filter("doc_id is not null").mapInArrow(run, "h long, doc_id long")
-    return found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h")
-
-
-SEGMENTS = 64
-
-
-class Bloom:
-    """A Bloom filter of 64-bit hashes, 16 bits and 4 probes for each, cut into
-    segments by the hashes' top bits.  Segments are built where their hashes
-    are; only the filter's bits, a bounded number, come together."""
-
-    def __init__(self, bits: int, parts: dict[int, bytes]):
-        self.bits = bits
-        empty = bytes(1 << bits - 3)
-        self.flags = np.frombuffer(b"".join(parts.get(k, empty) for k in range(SEGMENTS)), np.uint8)
-
-    @staticmethod
-    def size(count: int) -> int:
-        """Bits of a segment, as a power of two, for ``count`` hashes in all."""
-        return max(6, int(np.ceil(np.log2(max(count, 1) * 16 / SEGMENTS))))
-
-    @staticmethod
-    def segment(hashes: np.ndarray, bits: int) -> bytes:
-        flags = np.zeros(1 << bits, bool)
-        for at in Bloom.probes(hashes, bits):
-            flags[at] = True
-        return np.packbits(flags, bitorder="little").tobytes()
-
-    @staticmethod
-    def probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-        for k in range(4):
-            yield (mix(hashes + np.uint64(k + 1)) >> np.uint64(64 - bits)).astype(np.int64)
+                if not len(at):
+                    continue
+                own, place = words.places()
+                text = pa.array(own[at])
+                rows = [pa.array(found.view(np.int64)), batch.column(0).slice(i, j - i).take(text)]
+                if placed:
+                    rows.append(pa.array(batch.column(2).slice(i, j - i).take(text).to_numpy() << 32 | place[at]))
+                yield pa.RecordBatch.from_arrays(rows, names=["h", "doc_id", "place"][: len(rows)])
 
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        out, base = np.ones(len(hashes), bool), (hashes >> np.uint64(58)).astype(np.int64) << self.bits
-        for at in self.probes(hashes, self.bits):
-            at = base + at
-            out &= (self.flags[at >> 3] >> (at & 7) & 1).astype(bool)
-        return out
+    return source.mapInArrow(run, "h long, doc_id long" + ", place long" * placed)
 
 
-def bloom_of(shared: DataFrame, count: int) -> Bloom:
-    bits = Bloom.size(count)
+def _shared_anchors(source: DataFrame) -> DataFrame:
+    """Hashes of the anchors that documents of different keys have."""
+    return _anchor_rows(source, False).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h")
 
-    def build(group: pa.RecordBatch) -> pa.RecordBatch:
-        flags = Bloom.segment(group.column(1).to_numpy().view(np.uint64), bits)
-        return pa.RecordBatch.from_arrays([group.column(0).slice(0, 1), pa.array([flags], pa.binary())], names=["segment", "flags"])
 
-    keyed = shared.select(F.shiftrightunsigned("h", 58).cast("int").alias("segment"), "h")
-    return Bloom(bits, {r["segment"]: bytes(r["flags"]) for r in by_group(keyed, ["segment"], build, "segment int, flags binary").collect()})
+def _by_text(placed: DataFrame, *more) -> DataFrame:
+    """``(doc_id, row, places)`` of rows ``(doc_id, place)``; ``more`` goes into
+    the low bits of each place."""
+    low = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    at = F.shiftleft(low, 32).bitwiseOR(more[0].cast("long")) if more else low
+    dealt = placed.select("doc_id", F.shiftright("place", 32).alias("row"), at.alias("at")).repartition("doc_id", "row")
+    return dealt.groupBy("doc_id", "row").agg(F.collect_set("at").alias("places"))
 
 
 def _around(words: Words, at: np.ndarray) -> np.ndarray:
@@ -136,81 +118,98 @@ def _around(words: Words, at: np.ndarray) -> np.ndarray:
     return starts[np.cumsum(reach)[starts] > 0]
 
 
-def _window_rows(words: Words, hashes: np.ndarray, starts: np.ndarray, keys: pa.Array, rows: pa.Array) -> pa.RecordBatch:
-    own, place = words.places()
-    first = mix(windows(hashes, WINDOW)[starts]).view(np.int64)
-    second = (mix(windows(hashes, WINDOW, _SECOND)[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    at = pa.array(own[starts])
-    both = rows.take(at).to_numpy() << 32 | place[starts]  # one field of a shuffled row
-    return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), keys.take(at), pa.array(both)], names=["h", "g", "doc_id", "place"])
+def _segments(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(begins, numbers of windows, hashes, second hashes)`` of the segments
+    in runs of candidate windows; a segment has the words of all its windows."""
+    run = np.cumsum(np.concatenate([[0], starts[1:] != starts[:-1] + 1]))
+    chosen = np.flatnonzero(mix(windows(hashes, ANCHOR)[starts]) % np.uint64(STRIDE) == 0)
+    inside = run[chosen[1:]] == run[chosen[:-1]]
+    begin, end = starts[chosen[:-1]][inside], starts[chosen[1:]][inside]
+    out = []
+    for base in (BASE, _SECOND):
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * powers(base, len(hashes)), out=total[1:])
+        back = powers(np.uint64(pow(int(base), -1, 1 << 64)), len(hashes))
+        out.append(mix((total[end + WINDOW - 1] - total[begin]) * back[begin] + (end - begin).astype(np.uint64)))
+    return begin, end - begin, out[0], out[1]
 
 
-_WINDOWS = "h long, g int, doc_id long, place long"
+def _outside(words: Words, starts: np.ndarray, first: np.ndarray, settled: pa.Array) -> np.ndarray:
+    """The starts that are in no settled segment."""
+    flat, owner = _flat(settled)
+    begin = first[owner] + (flat >> 32)
+    change = np.zeros(len(words) + 1, np.int32)
+    np.add.at(change, begin, 1)
+    np.add.at(change, begin + (flat & 0xFFFFFFFF), -1)
+    return starts[np.cumsum(change)[starts] == 0]
 
 
-def _windows_by_bloom(source: DataFrame, shared: DataFrame, count: int) -> DataFrame:
-    bloom = source.sparkSession.sparkContext.broadcast(bloom_of(shared, count))
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the row of each; a null list is empty."""
+    many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), many)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keys = column(batch, "text"), batch.column(0)
-            for i, j in slices(texts):
-                words = Words(*raw(texts.slice(i, j - i)))
-                hashes = words.hashes()
-                at, found = _anchors(words, hashes)
-                at = at[bloom.value.holds(found)]
-                if len(at) and len(starts := _around(words, at)):
-                    yield _window_rows(words, hashes, starts, keys.slice(i, j - i), batch.column(2).slice(i, j - i))
 
-    return source.filter("doc_id is not null").mapInArrow(run, _WINDOWS)
+_ROWS = "h long, g int, doc_id long, place long, size int"
 
 
-def _windows_by_join(source: DataFrame, shared: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same windows, shared anchors being too many for a filter."""
+def _matched(texts: DataFrame, whole: bool) -> DataFrame:
+    """Rows of segments (``whole``) or of single windows outside ``settled``
+    ones, of texts with the ``places`` of their shared anchors."""
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = column(batch, "text"), batch.column(0)
-            for i, j in slices(texts):
+            texts, names = column(batch, "text"), batch.schema.names
+            for i, j in slices(texts, SLICE):
+                part = batch.slice(i, j - i)
                 words = Words(*raw(texts.slice(i, j - i)))
-                at, found = _anchors(words, words.hashes())
+                hashes = words.hashes()
+                flat, owner = _flat(part.column(names.index("places")))
+                starts = _around(words, np.unique(words.first[owner] + flat))
+                if whole:
+                    begin, size, first, second = _segments(hashes, starts)
+                else:
+                    begin = _outside(words, starts, words.first, part.column(names.index("settled")))
+                    size = np.ones(len(begin), np.int64)
+                    first, second = (mix(windows(hashes, WINDOW, base)[begin]) for base in (BASE, _SECOND))
                 own, place = words.places()
-                rows = (x.slice(i, j - i).take(pa.array(own[at])) for x in (keys, batch.column(2)))
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *rows, pa.array(place[at].astype(np.int32))], names=["h", "doc_id", "row", "pos"])
+                for k in range(0, len(begin), 65536):
+                    at = begin[k : k + 65536]
+                    text = pa.array(own[at])
+                    both = part.column(names.index("row")).take(text).to_numpy() << 32 | place[at]  # one field of a shuffled row
+                    high = (second[k : k + 65536] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(first[k : k + 65536].view(np.int64)), pa.array(high), part.column(0).take(text), pa.array(both), pa.array(size[k : k + 65536].astype(np.int32))], names=["h", "g", "doc_id", "place", "size"])
+
+    return texts.mapInArrow(run, _ROWS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keys, rows, places = column(batch, "text"), batch.column(0), batch.column(2), batch.column(3).to_pylist()
-            for i in range(len(texts)):
-                words = Words(*raw(texts.slice(i, 1)))
-                at = np.unique(np.array(places[i], np.int64))
-                if len(at) and len(starts := _around(words, at)):
-                    yield _window_rows(words, words.hashes(), starts, keys.slice(i, 1), rows.slice(i, 1))
 
-    keyed = source.filter("doc_id is not null")
-    marks = keyed.mapInArrow(anchors, "h long, doc_id long, row long, pos int").join(shared, "h").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("places"))
-    marks = scratch.store(marks, "marks")
-    return keyed.join(marks, ["doc_id", "row"]).select("doc_id", "text", "row", "places").mapInArrow(run, _WINDOWS)
+def _late(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``(doc_id, row, places)`` of the rows whose words a document with a
+    smaller key also has; a place is a start and a number of windows."""
+    first = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first")
+    first = scratch.store(first, name)
+    late = found.join(first, ["h", "g"]).filter("doc_id > first")
+    return _by_text(late, F.col("size"))
 
 
-def _ranges(starts: list[int]) -> list[int]:
-    """Ends of the word ranges that windows at ``starts`` cover, flattened."""
-    s = np.unique(np.array(starts, np.int64))
-    new = np.flatnonzero(np.concatenate([[True], s[1:] > s[:-1] + WINDOW]))
-    return np.stack([s[new], np.concatenate([s[new[1:] - 1], s[-1:]]) + WINDOW], 1).ravel().tolist()
+def _ranges(places: list[int]) -> list[int]:
+    """Ends of the word ranges that windows at ``places`` cover, flattened."""
+    x = np.unique(np.array(places, np.int64))
+    a, b = x >> 32, (x >> 32) + (x & 0xFFFFFFFF) + WINDOW - 1
+    b = np.maximum.accumulate(b)
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return np.stack([a[new], np.concatenate([b[new[1:] - 1], b[-1:]])], 1).ravel().tolist()
 
 
-def _removed(seen: DataFrame, scratch: Scratch) -> DataFrame:
+def _removed(settled: DataFrame, late: DataFrame) -> DataFrame:
     """``(doc_id, row, ranges)`` of the texts that lose words."""
-    first = seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first")
-    first = scratch.store(first, "first")
-    late = seen.join(first, ["h", "g"]).filter("doc_id > first").select("doc_id", F.shiftright("place", 32).alias("row"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_ranges(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "row", "ranges"])
 
-    return late.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("starts")).mapInArrow(run, "doc_id long, row long, ranges array<long>")
+    both = settled.unionByName(late).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return both.mapInArrow(run, "doc_id long, row long, ranges array<long>")
 
 
 def cut_words(text: bytes, ranges: list[int]) -> tuple[int, int, bytes]:
@@ -224,24 +223,32 @@ def cut_words(text: bytes, ranges: list[int]) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bloom_most: int = 8_000_000, ranges_most: int = 500_000, digest: bool = False, carry: tuple[str, ...] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, carry: tuple[str, ...] | None = None) -> DataFrame:
     """``n_words``, ``n_removed`` and ``kept_text`` (with ``digest``, instead
     its ``kept_sha256``) of every document.  With ``carry``, the text and those
     columns come along."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "substrings")
-    source = _source(docs, key, text)
-    shared = scratch.store(_shared_anchors(source), "shared")
-    if (count := shared.count()) <= bloom_most:
-        seen = _windows_by_bloom(source, shared, count)
-    else:
-        seen = _windows_by_join(source, shared, scratch)
-    seen = scratch.store(seen, "windows")
-    ranges = scratch.store(_removed(seen, scratch), "ranges")
-    scratch.drop("windows", "first", "shared", "marks")
-    if ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0] <= 2 * ranges_most:
-        ranges = F.broadcast(ranges)  # ranges_most pairs of numbers: a few MB
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        release(spark)
+        return scratch.store(df, name)
+
+    keyed, on = _source(docs, key, text).filter("doc_id is not null"), ["doc_id", "row"]
+    shared = step(_shared_anchors(keyed), "shared")
+    marks = step(_by_text(_anchor_rows(keyed, True).join(shared, "h")), "marks")
+    scratch.drop("shared")
+    segments = step(_matched(keyed.join(marks, on).select("doc_id", "text", "row", "places"), True), "segments")
+    settled = step(_late(segments, scratch, "first"), "settled")
+    scratch.drop("segments", "first")
+    known = marks.join(settled.withColumnRenamed("places", "settled"), on, "left")
+    single = step(_matched(keyed.join(known, on).select("doc_id", "text", "row", "places", "settled"), False), "windows")
+    late = step(_late(single, scratch, "first"), "late")
+    scratch.drop("windows", "first", "marks")
+    ranges = step(_removed(settled, late), "ranges")
+    scratch.drop("settled", "late")
+    release(spark)
     last = ("kept_sha256", pa.string()) if digest else ("kept_text", pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

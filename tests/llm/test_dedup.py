@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import awkward, awkward_rows, close, empty, near, removed, shingles
 
@@ -106,11 +107,10 @@ def test_substring_query_equals_all_windows(spark, sf):
     check_removed(queries.op7_substring_dedup(spark, sf).collect(), texts_of(spark, sf), digest=True)
 
 
-@pytest.mark.parametrize("bloom_most", [8_000_000, 0])
-def test_substrings_on_awkward_rows(spark, bloom_most):
+def test_substrings_on_awkward_rows(spark):
     rows = [(r[0], r[1]) for r in awkward_rows()]
-    check_removed(substrings.substring_dedup(awkward(spark), bloom_most=bloom_most, ranges_most=bloom_most).collect(), rows)
-    assert substrings.substring_dedup(empty(spark), bloom_most=bloom_most).collect() == []
+    check_removed(substrings.substring_dedup(awkward(spark)).collect(), rows)
+    assert substrings.substring_dedup(empty(spark)).collect() == []
 
 
 def test_substrings_of_every_alignment(spark):
@@ -122,11 +122,36 @@ def test_substrings_of_every_alignment(spark):
     check_removed(substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
-@pytest.mark.parametrize("bloom_most", [8_000_000, 0])
-def test_texts_of_one_key_are_cut_by_their_own_windows(spark, bloom_most):
+def test_copies_with_edits_settle_by_segments(spark):
+    """Long copies in chains and stars, edited, cut, joined and repeated."""
+    rng, rows = random.Random(8), []
+    bases = [[f"w{b}_{rng.randrange(400)}" for _ in range(900)] for b in range(3)]
+    for k in rng.sample(range(60), 60):
+        own = list(bases[k % 3])
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(3)] = [f"e{rng.randrange(9)}"] * rng.randrange(3)
+        own = own[rng.randrange(300) : len(own) - rng.randrange(300)]
+        rows.append((k, " ".join(own + (own[:200] if k % 7 == 0 else []))))
+    rows += [(70, "same " * 400), (71, "same " * 300), (71, "same " * 500)]
+    check_removed(substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_segments_have_the_hash_of_their_words():
+    text = pa.array([" ".join(f"x{i * i % 97}" for i in range(600)).encode()], pa.binary())
+    words = substrings.Words(*substrings.raw(text))
+    hashes = words.hashes()
+    moved = np.concatenate([hashes[:7], hashes])
+    at = substrings._segments(hashes, words.whole(50))
+    then = substrings._segments(moved, np.arange(7, len(moved) - 49))
+    assert len(at[0]) > 20 and all((a == b).all() for a, b in zip(at[1:], then[1:], strict=True)) and (at[0] + 7 == then[0]).all()
+    assert len(np.unique(at[2])) == len({tuple(hashes[a : a + n + 49].tolist()) for a, n in zip(at[0], at[1], strict=True)})
+
+
+def test_texts_of_one_key_are_cut_by_their_own_windows(spark):
     passage = " ".join(f"q{i}" for i in range(60))
     rows = [(1, passage), (5, passage + " tail"), (5, "some other text " * 30 + passage), (5, " ".join(f"own{i}" for i in range(90))), (6, passage)]
-    found = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bloom_most=bloom_most)
+    found = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     check_removed(found.collect(), rows)
 
 
