@@ -99,6 +99,11 @@ def fold(key: str, of: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of))
 
 
+def beside(carry: tuple[str, ...] | list[str], *results: str) -> list[str]:
+    """The carried columns; one with the name of a result gives way to it."""
+    return [c for c in carry if c not in results]
+
+
 def extended(schema: T.StructType, **kinds: str) -> T.StructType:
     """A copy of a schema with more columns."""
     more = [T.StructField(name, _KINDS[kind]) for name, kind in kinds.items()]

@@ -256,3 +256,26 @@ def test_vector_tables_beyond_the_sample(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
     found = {r["vec_id"]: r for r in vectors.embedding_dedup(df, sample=128).collect()}
     assert np.mean([found[i]["component_id"] == found[i + 700]["component_id"] for i in range(700)]) > 0.98
+
+
+def test_recall_of_queries_by_id_against_all_vectors(spark):
+    """Ids divisible by 20 against all rows, in blocks: the planted links lie
+    from the threshold up, in groups of two, and far from each other."""
+    rng = np.random.default_rng(5)
+    first = rng.normal(size=(3000, 48))
+    every = np.concatenate([first, turned(rng, first[:1500], 0.902), turned(rng, first[1500:2400], 0.93), turned(rng, first[2400:], 0.97)])
+    order = rng.permutation(len(every))
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(order, every, strict=True)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in vectors.embedding_dedup(df, sample=1024).collect()}
+    asked = np.flatnonzero(order % 20 == 0)
+    true = (unit[asked] @ unit.T >= 0.9).sum(1) - 1
+    got = np.array([found[int(order[i])] for i in asked])
+    assert true.sum() > 200 and (got <= true).all()
+    assert got.sum() >= 0.95 * true.sum()
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [5.0, 0.1]), (4, [3.0, 0.0])]
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
