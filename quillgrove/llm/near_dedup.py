@@ -23,7 +23,9 @@ The sketch test passes pairs whose estimate is within 4.5 standard errors of
 the threshold.
 
 Edge cases: null texts and texts without words have empty sets and link with
-nothing, not with each other.  Fewer than five words make one shingle.  Rows
+nothing, not with each other.  Fewer than five words make one shingle.  Very
+long texts are taken whole, one at a time.  A similarity that ties with the
+threshold is a link; of equals the smallest key is kept.  Rows
 that repeat a key count as separate members of their class and get that key's
 component.  An empty table gives an empty result.  Other columns are not read.
 """
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, ship, tiles
+from .common import Scratch, by_group, release, ship, tiles
 from .components import components
 from .hashing import Words, column, mix, raw, slices, windows
 
@@ -219,7 +221,7 @@ def _settle(percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, broadcast_most: int = 1_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """``n_shingles``, ``component_id`` and ``kept`` of every document: links
     have Jaccard similarity ``percent`` / 100 or more of their shingle sets."""
     spark = docs.sparkSession
@@ -238,10 +240,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     buckets = scratch.store(keys.join(shared, "key"), "buckets")
     inside = scratch.store(buckets.select("rep").distinct(), "inside")
     known = scratch.store(classes.select("rep", "n", "sketch").join(inside, "rep"), "known")
+    release(spark)
     texts = source.withColumnRenamed("doc_id", "rep")
-    small = inside.count() <= broadcast_most  # 8 bytes each
-    sets = texts.join(F.broadcast(inside) if small else inside, "rep", "left_semi").mapInArrow(_sets, "rep long, shingles binary")
+    # one plan at every size: the texts go to the classes that share a bucket
+    sets = texts.join(inside.hint("merge"), "rep", "left_semi").mapInArrow(_sets, "rep long, shingles binary")
     sets = scratch.store(sets, "sets")
+    release(spark)
     pairs = scratch.store(buckets.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     one, two = (known.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
     close = pairs.join(two, "b").join(one, "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -249,6 +253,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     one, two = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"x_{c}")) for c in "ab")
     links = scratch.store(close.join(two, "b").join(one, "a").select("a", "b", "x_a", "x_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
     parts = components(links, scratch, "first")
+    release(spark)
 
     # 3. buckets with several components, exactly
     members = buckets.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -266,6 +271,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     more = scratch.store(more, "more")
 
     # 4. all links
+    release(spark)
     parts = scratch.store(components(links.unionByName(more), scratch, "second"), "parts")
     found = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     found = scratch.store(found.select(F.col("n").alias("n_shingles"), "set_a", "set_b", F.coalesce("component", "rep").alias("component")), "found")
