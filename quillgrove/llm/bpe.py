@@ -255,8 +255,10 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The ``bytes`` of ``ids``; the other columns of ``encoded`` stay."""
+    """The ``bytes`` of ``ids``; the other columns of ``encoded`` stay, but for
+    one that is named ``bytes``."""
     ship(encoded.sparkSession)
+    encoded = encoded.drop("bytes")
     schema = extended(encoded.schema, bytes="binary")
     at = encoded.columns.index("ids")
 

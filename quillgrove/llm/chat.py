@@ -5,7 +5,9 @@ each conversation's turns (128 bits: two running xors of hashes of position,
 role and text) names every prefix.  A conversation whose whole hash is a
 proper prefix of a longer one, or equals that of one with a smaller id, is
 dropped by an anti-join; those that stay are maximal and are rendered, one
-text each: ``<|im_start|>role``, a line feed, the text and ``<|im_end|>``.
+text each: ``<|im_start|>role``, a line feed, the text and ``<|im_end|>``.  The
+markers are kept out of roles and texts (``<|im_end|>`` there becomes
+``<im_end>``), so that no text forges a turn.
 
 Scale: hashes of equal conversations and of equal prefixes are aggregated
 before they are joined, so a first turn or a conversation that a third of the
@@ -43,7 +45,8 @@ def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     said = F.coalesce(F.col(text), F.lit(""))
     turns = conversations.filter(F.col(conv).isNotNull()).select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.sha2(said, 256).alias("digest"), said.alias("text"))
     kept = turns.join(collapse(turns.drop("text")), "conv_id", "left_semi")
-    rendered = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
+    safe = lambda c: F.replace(F.replace(F.col(c), F.lit("<|im_start|>"), F.lit("<im_start>")), F.lit("<|im_end|>"), F.lit("<im_end>"))
+    rendered = F.concat(F.lit("<|im_start|>"), safe("role"), F.lit("\n"), safe("text"), F.lit("<|im_end|>\n"))
     listed = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "digest", rendered.alias("shown")))).alias("turns"))
     return listed.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join("turns.shown", "").alias("text"))
 
@@ -55,7 +58,7 @@ WITH said AS (
   SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, sha256(text)) AS turns FROM said GROUP BY conv_id
 )
 SELECT conv_id, n AS n_turns,
-       list_aggregate(list_transform(turns, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), 'string_agg', '') AS text
+       list_aggregate(list_transform(turns, lambda x: '<|im_start|>' || replace(replace(x.r, '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || chr(10) || replace(replace(x.t, '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10)), 'string_agg', '') AS text
 FROM listed a
 WHERE NOT EXISTS (
   SELECT 1 FROM listed b

@@ -9,8 +9,10 @@ documents of each language, drawn by hash).
 
 Edge cases: null texts and texts without a letter give ``und`` with score 0.
 A null lang is never learned from, nor is an empty text; a language that has
-only such texts is not learned, and any other is, however short its texts.  With no language to learn every text is
-``und``; with one, that one wins.  Repeated rows are labelled alike; other
+only such texts is not learned, and any other is, however short its texts.
+With no language to learn every text is ``und``; with one, that one wins.  Of
+languages that tie the first by name wins.  Very long texts are read whole, in
+bounded batches of segments.  Repeated rows are labelled alike; other
 columns are not read.
 """
 
@@ -173,17 +175,20 @@ def _pooled(data: np.ndarray, offsets: np.ndarray, net: Net, batch: int = 2048)
     return np.where(sums > 0, total / np.where(sums > 0, sums, 1), 1 / max(len(net.langs), 1))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400) -> Net:
-    """Trains on about ``per_lang`` documents of each language, chosen by hash
-    among the rows whose ``crc32(key) mod 4`` is not 2."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 256, excerpt: int = 16384) -> Net:
+    """Trains on about ``per_lang`` documents of each of the ``most`` frequent
+    languages, chosen by hash among the rows whose ``crc32(key) mod 4`` is not
+    2.  Of a longer text the sample has ``excerpt`` bytes from a place set by
+    hash, as training reads random segments only."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"), F.col(lang).alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & (F.length("t") > 0) & (fold("k", 4) != 2))
-    counts = rows.groupBy("l").count().collect()  # one row a language
+    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most).collect()
     draw = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / float(1 << 40)
+    part = F.expr(f"substring(t, cast(1 + pmod(xxhash64(k), greatest(octet_length(t) - {excerpt}, 0) + 1) as int), {excerpt})")
     wanted = F.lit(False)
     for r in counts:
         wanted |= (F.col("l") == r["l"]) & (draw < per_lang / r["count"])
-    found = sorted((r["k"], r["l"], bytes(r["t"])) for r in rows.filter(wanted).collect()) if counts else []
+    found = sorted((r["k"], r["l"], bytes(r["t"])) for r in rows.filter(wanted).select("k", "l", part.alias("t")).collect()) if counts else []
     return train([t for _, _, t in found], [x for _, x, _ in found])
 
 

@@ -8,10 +8,13 @@ labelled rows.  As the softmax is linear in the mean, a fitted model is one
 score a bucket: scoring a text is one pass of gathers over all its bytes.
 
 Edge cases: null and empty texts have no features and get the score of the
-bias alone.  Labels that are null, or of no document, are ignored; of several
+bias alone.  Very long texts are scored whole.  A score of exactly one half is
+predicted 1.  Of several texts of one labelled document that with the smallest
+hash is learned from.  Labels that are null, or of no document, are ignored; of several
 labels of a document the smallest counts.  With labels of one class only or
 none, every score is that class's share (0.5 without any).  Repeated rows are
-scored alike; other columns are never read.
+scored alike; other columns are never read.  A carried column with the name of
+a result gives way to it.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, fold, ship
+from .common import beside, extended, fold, ship
 from .hashing import BASE, BYTE_BASE, BYTE_CODE, Words, column, mix, raw, slices
 
 BUCKET_BITS = 18
@@ -111,15 +114,19 @@ def train(texts: list[bytes], labels: np.ndarray, dim: int = 16, epochs: int = 5
     return Model(scores.astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500) -> Model:
-    """Trains on at most ``per_class`` documents of each label, drawn by hash
-    order from the labelled rows whose ``crc32(key) mod 3`` is not 1."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500, class_bytes: int = 32 << 20) -> Model:
+    """Trains on at most ``per_class`` documents of each label, and at most
+    ``class_bytes`` of whole texts (one document at least), drawn by hash order
+    from the labelled rows of ``docs`` whose ``crc32(key) mod 3`` is not 1."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
-    known = known.filter(fold("k", 3) != 1)
+    known = known.filter(fold("k", 3) != 1).join(docs.select(F.col(key).alias("k")), "k", "left_semi")
     drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * per_class rows at most
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).join(ids, "k").select("k", "y", "t")
-    found = rows.dropDuplicates(["k"]).toPandas().sort_values("k")
+    rows = rows.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("t")).select("k", "y", "t.t")
+    before = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")  # per_class rows at most
+    rows = rows.withColumn("bytes", F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).over(before)).filter((F.col("bytes") <= class_bytes) | (F.row_number().over(before) == 1))
+    found = rows.select("k", "y", "t").toPandas().sort_values("k")
     order = np.random.default_rng(0).permutation(len(found))
     texts = [bytes(t) if t is not None else b"" for t in found["t"]]
     return train([texts[i] for i in order], found["y"].to_numpy()[order].astype(int))
@@ -139,6 +146,6 @@ def quality_classifier(docs: DataFrame, model: Model, key: str = "doc_id", text:
                 p = score(texts.slice(i, j - i), shared.value)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(along))), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*along, "score", "predicted"])
 
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(carry or ()))
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *beside(carry or (), "doc_id", "text", "score", "predicted"))
     along = ["doc_id"] if carry is None else source.columns
     return source.mapInArrow(run, extended(source.select(*along).schema, score="double", predicted="int"))

@@ -11,8 +11,10 @@ document).  EM needs only the histogram of vote patterns, at most
 its posteriors go back by a broadcast of that bounded table.
 
 Edge cases: a null or empty text has no words, zero counts, fails the base
-rule and is not kept.  Repeated rows are judged separately and alike.  An
-empty table gives an empty result.  Other columns are not read.
+rule and is not kept.  Very long texts are counted whole.  A posterior of
+exactly one half is kept.  Repeated rows are judged separately and alike.  An
+empty table gives an empty result.  Other columns are not read; a carried
+column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, extended, ship
+from .common import Scratch, beside, extended, ship
 from .hashing import Words, column, mix, raw, slices, windows
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_letters", "n_shouts"]
+JUDGED = ["votes", "p_good", "base_failed", "kept"]
 
 
 def _lut(chars: bytes) -> np.ndarray:
@@ -90,7 +93,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tu
     """The counts that the rules look at, of whole texts.  With ``carry``, the
     text and those columns come along, so that a filter needs no join."""
     ship(docs.sparkSession)
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(carry or ()))
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *beside(carry or (), "doc_id", "text", *COUNTS, *MORE, *JUDGED))
     along = ["doc_id"] if carry is None else source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,4 +180,4 @@ def filtered(docs: DataFrame, carry: tuple[str, ...], key: str = "doc_id", text:
     """The documents that are kept: ``doc_id``, ``text`` and ``carry``.  Texts
     are written once beside their counts; nothing is shuffled."""
     counts = Scratch(docs.sparkSession, "quality").store(features(docs, key, text, carry), "counts")
-    return judged(counts).filter("kept").select("doc_id", "text", *carry)
+    return judged(counts).filter("kept").select([c for c in counts.columns if c not in COUNTS + MORE])

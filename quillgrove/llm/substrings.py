@@ -31,8 +31,8 @@ Edge cases: null and empty texts have no words and lose none.  Texts shorter
 than a window lose nothing; very long ones are whole, one at a time.  Rows of
 one key are one document's: they never remove each other's words, whatever
 their texts.  Rows with a null key are left whole.  An empty table gives an
-empty result.  Other columns are not read; a carried column may not have the
-name of a result column.
+empty result.  Other columns are not read; a carried column with the name of a
+result gives way to it.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, extended, release, ship
+from .common import Scratch, beside, extended, release, ship
 from .hashing import BASE, Words, column, mix, powers, raw, slices, windows
 
 PERIOD = 31
@@ -260,6 +260,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", di
                 kept = [hashlib.sha256(x).hexdigest() for x in kept] if digest else [x.decode() for x in kept]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in out), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, last[1])], names=[*(along[k] for k in out), "n_words", "n_removed", last[0]])
 
+    carry = carry if carry is None else tuple(beside(carry, "doc_id", "text", "row", "ranges", "n_words", "n_removed", last[0]))
     along = ["doc_id", "text", *(carry or ())]
     out = range(1 if carry is None else len(along))
     joined = _source(docs, key, text, carry or ()).join(ranges, ["doc_id", "row"], "left").select(*along, "ranges")
