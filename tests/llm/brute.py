@@ -59,9 +59,9 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-def close(a: frozenset, b: frozenset) -> bool:
+def close(a: frozenset, b: frozenset, percent: int = 85) -> bool:
     both = len(a & b)
-    return bool(a and b) and 100 * both >= 85 * (len(a) + len(b) - both)
+    return bool(a and b) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def reach(n: int, links: list[tuple[int, int]]) -> list[list[int]]:
@@ -81,10 +81,10 @@ def reach(n: int, links: list[tuple[int, int]]) -> list[list[int]]:
     return list(groups.values())
 
 
-def near(rows: list[tuple[int, str | None]]) -> list[tuple]:
+def near(rows: list[tuple[int, str | None]], percent: int = 85) -> list[tuple]:
     """``(doc_id, n_shingles, component_id, kept)`` of each row, by all pairs."""
     sets = [shingles(t) for _, t in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if close(sets[i], sets[j])]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if close(sets[i], sets[j], percent)]
     out = []
     for group in reach(len(rows), links):
         least = min(rows[i][0] for i in group)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from brute import awkward, awkward_rows, counts, empty, near, removed
+from brute import PROSE, awkward, awkward_rows, counts, empty, near, removed
 from test_tokens import check_packing
 
 import corpus_pipeline
@@ -42,7 +42,7 @@ def test_each_stage_against_a_plain_version(spark, sf, tmp_path):
 
     docs = spark.createDataFrame(after, docs.schema)
     kept = corpus_pipeline.near_stage(spark, docs, sf)
-    stay = {r[0] for r in near([(r[0], r[1]) for r in after]) if r[3]}
+    stay = {r[0] for r in near([(r[0], r[1]) for r in after], 80) if r[3]}  # five words, 0.8 or more
     before, after = after, rows_of(kept)
     assert kept.columns == COLUMNS and after == sorted((r for r in before if r[0] in stay), key=str)
 
@@ -76,3 +76,11 @@ def test_stages_on_awkward_and_empty_tables(spark, sf, name):
             assert out.columns == COLUMNS
         n = out.count()
         assert n <= len(awkward_rows()) or name == "packing"
+
+
+def test_documents_without_an_id_are_judged_like_others(spark, sf):
+    rows = [(None, PROSE), (None, None), (1, PROSE), (2, PROSE)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r["doc_id"] for r in STAGES["quality rules"](spark, docs, sf).collect()]
+    assert sorted(kept, key=str) == [1, 2, None]
+    assert sorted((r["doc_id"] for r in STAGES["near-duplicates"](spark, docs.filter("text is not null"), sf).collect()), key=str) == [1, None]

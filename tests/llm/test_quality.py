@@ -62,6 +62,42 @@ def test_em_learns_which_rule_is_noise():
     assert quality_rules.fit([]) [0] == {}
 
 
+def plain_em(votes, rounds=60):
+    """Posteriors of documents by expectation-maximisation, document by
+    document and rule by rule."""
+    good = [0.1 if -1 in v else 0.9 for v in votes]
+    for _ in range(rounds):
+        share = (sum(good) + 1) / (len(votes) + 2)
+        rates = []
+        for k in range(len(votes[0])):
+            says = [(v[k], g) for v, g in zip(votes, good, strict=True) if v[k]]
+            on_good = (sum(g for x, g in says if x > 0) + 1) / (sum(g for _, g in says) + 1.01)
+            on_bad = (sum(1 - g for x, g in says if x > 0) + 1) / (sum(1 - g for _, g in says) + 2)
+            on_good = max(on_good, 0.995)
+            rates.append((on_good, min(on_bad, on_good)))
+        good = []
+        for v in votes:
+            a, b = np.log(share), np.log(1 - share)
+            for x, (on_good, on_bad) in zip(v, rates, strict=True):
+                if x:
+                    a += np.log(on_good if x > 0 else 1 - on_good)
+                    b += np.log(on_bad if x > 0 else 1 - on_bad)
+            good.append(1 / (1 + np.exp(np.clip(b - a, -500, 500))))
+    return good
+
+
+def test_verdicts_equal_a_plain_em_and_differ_from_all_must_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counted = quality_rules.features(docs).select("doc_id", *(v.alias(k) for k, v in quality_rules.rules().items())).collect()
+    votes = {r["doc_id"]: tuple(r)[1:] for r in counted}
+    want = dict(zip(votes, plain_em(list(votes.values())), strict=True))
+    found = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert all(abs(found[k]["p_good"] - p) < 1e-6 for k, p in want.items())
+    assert all(found[k]["kept"] == (not found[k]["base_failed"] and p >= 0.5) for k, p in want.items())
+    against = [k for k, v in votes.items() if -1 in v]
+    assert any(found[k]["kept"] for k in against) and any(not found[k]["kept"] for k in against)
+
+
 def auc(score, label):
     order = np.argsort(np.argsort(score)) + 1
     n = label.sum()
