@@ -5,10 +5,13 @@ predecessor kept; all but the last return the columns of ``documents``.  Rules
 and classifier judge a row by itself and filter it on the spot, so only the
 dedup stages shuffle.
 
-Edge cases: a document without a doc_id could not be named in the result, so
-the first stage rejects it; null, empty and too short texts are rejected there
-too.  Rows that repeat a doc_id are one document's: they stay or go together
-in the near-duplicate stage.  Null ``lang``, ``source`` and ``n_chars`` stay
+Near-duplicates share at least 0.8 of their five-word shingles.
+
+Edge cases: null, empty and too short texts are rejected by the rules.  A
+document without a doc_id is judged like any other, but as dedup names
+documents by their ids, both dedup stages leave it as it is.  Rows that repeat
+a doc_id are one document's: they stay or go together in the near-duplicate
+stage.  Null ``lang``, ``source`` and ``n_chars`` stay
 null, and columns beyond those of ``documents`` are left out.
 """
 
@@ -22,17 +25,19 @@ from quillgrove.llm import near_dedup, packing, quality_classifier, quality_rule
 from quillgrove.llm.common import Scratch, table
 
 REST = ("lang", "source", "n_chars")
+NEAR_PERCENT = 80
 COLUMNS = ["doc_id", "text", *REST]
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The documents of a decision table ``(doc_id, keep)``."""
-    keep = decided.filter("keep").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(COLUMNS)
+    keep = decided.filter("keep and doc_id is not null").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").select(COLUMNS)
+    return named.unionByName(docs.filter("doc_id is null").select(COLUMNS))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.filtered(docs.filter("doc_id is not null"), REST)
+    return quality_rules.filtered(docs, REST)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, near_dedup.near_dedup(docs).withColumnRenamed("kept", "keep"))
+    return _kept(docs, near_dedup.near_dedup(docs.filter("doc_id is not null"), percent=NEAR_PERCENT).withColumnRenamed("kept", "keep"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
