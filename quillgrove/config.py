@@ -60,6 +60,15 @@ class IndexMissing(QuillgroveError):
     """A repository that was never indexed."""
 
 
+def public_message(error: Exception) -> str:
+    """What a client is told: the fault for a wrong argument, else no detail."""
+    if isinstance(error, InvalidInput):
+        return str(error)
+    if isinstance(error, IndexMissing):
+        return "the repository is not indexed"
+    return "the search failed" if isinstance(error, QuillgroveError) else "an unexpected error occurred"
+
+
 def check_query(query: str, top_k: int = 10) -> None:
     if not query or not query.strip() or len(query) > 50_000:
         raise InvalidInput("a query has 1 to 50,000 characters")

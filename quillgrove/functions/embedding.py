@@ -6,6 +6,7 @@ bag of features.  Others are any ``list[str] -> list[list[float]]``.
 
 from __future__ import annotations
 
+import logging
 import re
 import time
 import zlib
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..storage import ship
 
+log = logging.getLogger(__name__)
 Provider = Callable[[list[str]], list[list[float]]]
 MAX_CHARS, BATCH = 50_000, 100
 
@@ -64,8 +66,40 @@ def _combined(vectors: list[list[float]], sizes: list[int]) -> list[float]:
     return (mean * (share @ np.linalg.norm(x, axis=1)) / max(float(np.linalg.norm(mean)), 1e-12)).tolist()
 
 
-def with_embedding(rows: DataFrame, content: str, provider: Provider) -> DataFrame:
-    """Adds ``embedding`` of a text column, a batch of texts a call.  Texts of
+def by_call(texts: list[str], most: int = BATCH, most_chars: int | None = None) -> Iterator[list[str]]:
+    """Texts by calls: at most ``most`` of them and ``most_chars`` characters.  A
+    text that alone has more is an error."""
+    held, size = [], 0
+    for t in texts:
+        if most_chars is not None and len(t) > most_chars:
+            raise ValueError(f"a text of {len(t)} characters exceeds the batch limit of {most_chars}")
+        if held and (len(held) == most or (most_chars is not None and size + len(t) > most_chars)):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def choose_provider(wanted: str, offered: dict[str, Callable[[], Provider]], fallback: str) -> tuple[str, Provider]:
+    """The wanted provider if it is offered and answers a probe with a vector,
+    else the fallback, which isn't probed."""
+    name = wanted.strip().lower()
+    if name in offered and name != fallback:
+        try:
+            provider = offered[name]()
+            if len(probe := provider(["test"])) == 1 and len(probe[0]) > 0:
+                return name, provider
+            log.warning("embedding provider %s gave no vector", name)
+        except Exception:  # whatever a remote service raises
+            log.warning("embedding provider %s is not available", name, exc_info=True)
+    return fallback, offered[fallback]()
+
+
+def with_embedding(rows: DataFrame, content: str, provider: Provider, most_chars: int | None = None) -> DataFrame:
+    """Adds ``embedding`` of a text column, a batch of texts a call (of at most
+    ``most_chars`` characters, where the provider has a limit).  Texts of
     more than ``MAX_CHARS`` characters go to the provider in pieces."""
     ship(rows.sparkSession)
     at = rows.columns.index(content)
@@ -75,7 +109,7 @@ def with_embedding(rows: DataFrame, content: str, provider: Provider) -> DataFra
         for batch in batches:
             cut = [parts(t or "") for t in batch.column(at).to_pylist()]
             texts = [p for ps in cut for p in ps]
-            made = iter([v for i in range(0, len(texts), BATCH) for v in provider(texts[i : i + BATCH])])
+            made = iter([v for part in by_call(texts, BATCH, most_chars) for v in provider(part)])
             found = [_combined([next(made) for _ in ps], [len(p) for p in ps]) for ps in cut]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
 

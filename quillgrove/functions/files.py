@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 
+# The name patterns of each category, tried in this order, and the
+# languages by ending.
 CATEGORIES = {
     "test": r"(?i)(^|/)(tests?|__tests__|spec)/|test_[^/]*\.py$|_test\.(py|go|rs)$|\.(test|spec)\.[jt]sx?$|_spec\.rb$|Test\.java$|Tests?\.cs$",
     "documentation": r"(?i)(^|/)(README|CHANGELOG|CONTRIBUTING|LICENSE|docs?/)|\.(mdx?|rst)$",
     "config": r"(?i)(^|/)(\.env|Dockerfile|docker-compose|\.[^/]*rc$|Makefile$)|\.(ya?ml|toml|json)$",
 }
 
-_CHUNKER = {"py": "python", "rs": "rust", "go": "go", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "md": "markdown", "mdx": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "sql": "sql"}
+_CHUNKER = {"py": "python", "rs": "rust", "go": "go", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "md": "markdown", "mdx": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "sql": "sql"}
 _PARSER = {"py": "python", "go": "go", "rs": "rust", "cpp": "cpp", "cxx": "cpp", "cc": "cpp", "hpp": "cpp", "hxx": "cpp", "c": "c", "h": "c", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx"}
 
 

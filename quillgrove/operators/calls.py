@@ -43,18 +43,27 @@ def callees(edges: DataFrame, source: str, level: float = LEVEL, limit: int | No
 
 
 def trace(edges: DataFrame, root: str, depth: int = 5, level: float = LEVEL) -> DataFrame:
-    """``(symbol, depth)`` called from ``root``, nearest first; nodes at the
-    full depth are not given."""
-    links = stored(edges.filter((F.col("confidence") >= level) & F.col("target").isNotNull()).select("source", "target").distinct(), "calls")
+    """``(symbol, depth)`` called from ``root``."""
+    return chain(edges, root, depth, level).select("symbol", "depth")
+
+
+def chain(edges: DataFrame, root: str, depth: int = 5, level: float = LEVEL, callees: bool = True) -> DataFrame:
+    """``(symbol, depth, edge_type)`` called from ``root`` (or calling it),
+    nearest first; nodes at the full depth are not given.  A node's type is
+    that of its first edge onward by type, ``calls`` if it has none."""
+    near, far = ("source", "target") if callees else ("target", "source")
+    sure = edges.filter((F.col("confidence") >= level) & F.col("target").isNotNull()).select(F.col(near).alias("source"), F.col(far).alias("target"), F.col("edge_type") if "edge_type" in edges.columns else F.lit(None).cast("string").alias("edge_type"))
+    links = stored(sure.groupBy("source", "target").agg(F.min("edge_type").alias("edge_type")), "calls")
     seen = edges.sparkSession.createDataFrame([(root, 0)], "symbol string, depth int")
     front = seen
     for d in range(1, depth):
-        front = links.join(front.select(F.col("symbol").alias("source")), "source").select(F.col("target").alias("symbol")).distinct().join(seen.select("symbol"), "symbol", "left_anti")
+        front = links.drop("edge_type").join(front.select(F.col("symbol").alias("source")), "source").select(F.col("target").alias("symbol")).distinct().join(seen.select("symbol"), "symbol", "left_anti")
         front = stored(front.withColumn("depth", F.lit(d)), "front")
         if not front.limit(1).count():
             break
         seen = stored(seen.unionByName(front), "trace")
-    return seen.filter("depth > 0")
+    kinds = links.groupBy(F.col("source").alias("symbol")).agg(F.min("edge_type").alias("edge_type"))
+    return seen.filter("depth > 0").join(kinds, "symbol", "left").select("symbol", "depth", F.coalesce("edge_type", F.lit("calls")).alias("edge_type"))
 
 
 def references(edges: DataFrame, symbols: DataFrame, name: str, level: float = 0.5) -> DataFrame:

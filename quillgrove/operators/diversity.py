@@ -11,10 +11,11 @@ from ..storage import ship
 
 
 def pick_contents(scores: list[float], contents: list[str], k: int, weight: float = 0.7) -> list[int]:
-    """Indices chosen: the first, then the best mix of score and novelty."""
+    """Indices chosen: the first, then the best mix of score and novelty (of
+    words in lower case)."""
     if len(scores) <= k:
         return list(range(len(scores)))
-    words = [set(c.split()) for c in contents]
+    words = [set(c.lower().split()) for c in contents]
     chosen, near = [0], [0.0] * len(scores)
     while len(chosen) < k:
         last = words[chosen[-1]]

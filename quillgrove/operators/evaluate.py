@@ -35,6 +35,15 @@ def aggregate(results: DataFrame) -> DataFrame:
     return results.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias("mrr" if c == "rr" else c) for c in results.columns if c != "query"))
 
 
+def aggregate_common(results: DataFrame) -> DataFrame:
+    """Means of ``results(query, rr, k, precision, recall, ndcg)`` for each k
+    that every query has; queries may have been cut at different places."""
+    total = F.broadcast(results.agg(F.count_distinct("query").alias("_n")))  # one row
+    per = results.groupBy("k").agg(F.count_distinct("query").alias("_q"), *(F.avg(c).alias(c) for c in ("precision", "recall", "ndcg")))
+    mean = results.select("query", "rr").distinct().agg(F.avg("rr").alias("mrr"))
+    return per.crossJoin(total).filter("_q = _n").crossJoin(F.broadcast(mean)).select("k", "mrr", "precision", "recall", "ndcg").orderBy("k")
+
+
 def latency(events: DataFrame, seconds: str = "ms", ok: str = "ok") -> DataFrame:
     """Count, total, extremes and mean of latencies, and the rate of successes."""
     return events.agg(F.count("*").alias("n"), F.sum(seconds).alias("total"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.avg(seconds).alias("mean"), F.avg(F.col(ok).cast("double")).alias("success_rate"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,34 +14,53 @@ def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float | None = None, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, local_most: int = 100_000) -> DataFrame:
     """``(node, score)``.  Repeated edges count; the mass of nodes without
     edges out is spread evenly.  Repeats are summed to weights once, before the
-    loop; ranks are written every few rounds, which bounds plan and recovery.
-    With ``tolerance`` the loop ends when the L1 change falls below it (tested
-    where ranks are written)."""
+    loop, which ends when the L1 change falls below ``tolerance``.  A graph of
+    up to ``local_most`` weighted edges (a few MB, counted first) is iterated
+    on the driver.  Beyond that each round is one written table, so neither
+    plan nor recovery grows with the rounds, and one aggregate over it gives
+    the next round's stray mass and the change."""
     links = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
     out = links.groupBy("src").agg(F.sum("w").alias("out"))
     links = stored(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "links")
-    total = F.broadcast(_nodes(links).agg(F.count("*").alias("n")))  # one row
+    if links.count() <= local_most:
+        return _pagerank_here(links, damping, rounds, tolerance)
     nodes = _nodes(links).join(links.select(F.col("src").alias("node")).distinct().withColumn("has", F.lit(True)), "node", "left")
-    nodes = stored(nodes.crossJoin(total).select("node", F.col("has").isNull().alias("dangling"), "n"), "nodes")
-    ranks = nodes.select("node", "dangling", "n", (1 / F.col("n")).alias("score"))
-    for i in range(1, rounds + 1):
-        before = ranks
+    nodes = stored(nodes.select("node", F.col("has").isNull().alias("dangling")), "nodes")
+    n = nodes.count()
+    ranks = nodes.select("*", F.lit(1 / n).alias("score"))
+    lost = nodes.filter("dangling").count() / n
+    for _ in range(rounds):
         given = links.join(ranks.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        lost = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost")))  # one row
-        score = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        ranks = nodes.join(given, "node", "left").crossJoin(lost).select("node", "dangling", "n", score.alias("score"))
-        if i % every == 0 and i < rounds:
-            ranks = stored(ranks, "ranks")
-            if tolerance is not None:
-                change = ranks.join(before.select("node", F.col("score").alias("old")), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-                if change is None or change < tolerance:
-                    break
+        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)
+        ranks = stored(ranks.select("node", "dangling", F.col("score").alias("old")).join(given, "node", "left").select("node", "dangling", new.alias("score"), "old"), "ranks")
+        lost, change = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)), F.sum(F.abs(F.col("score") - F.col("old")))).first()
+        if tolerance is not None and change < tolerance:
+            break
     return ranks.select("node", "score")
 
 
+def _pagerank_here(links: DataFrame, damping: float, rounds: int, tolerance: float | None) -> DataFrame:
+    """The same sums over a bounded edge table."""
+    held = links.toArrow().combine_chunks()
+    names = pa.chunked_array([*held.column("src").chunks, *held.column("dst").chunks], held.schema.field("src").type).combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    place, n, share = names.indices.to_numpy(), len(names.dictionary), held.column("share").to_numpy()
+    src, dst = place[: len(share)], place[len(share) :]
+    dangling = np.ones(n, bool)
+    dangling[src] = False
+    score = np.full(n, 1 / max(n, 1))
+    for _ in range(rounds if n else 0):
+        old = score
+        score = (1 - damping) / n + damping * (np.bincount(dst, old[src] * share, n) + old[dangling].sum() / n)
+        if tolerance is not None and np.abs(score - old).sum() < tolerance:
+            break
+    schema = links.select(F.col("src").alias("node"), F.col("share").alias("score")).schema
+    return links.sparkSession.createDataFrame(pa.table({"node": names.dictionary, "score": pa.array(score)}), schema)
+
+
 def centrality(ranks: DataFrame, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """Scores scaled to ``[low, high]``; the middle where all are equal."""
     ends = F.broadcast(ranks.agg(F.min("score").alias("a"), F.max("score").alias("b")))  # one row
@@ -148,6 +169,20 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return ways.groupBy("filename").agg(F.array_sort(F.collect_set("to")).alias("imports"), F.array_sort(F.collect_set("by")).alias("imported_by"))
 
 
+def adjacency_among(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Adjacency within a set of files, one row for each of them."""
+    lists = adjacency(dependencies(edges, files))
+    none = F.array().cast("array<string>")
+    every = files.select("filename").distinct().join(lists, "filename", "left")
+    return every.select("filename", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
+
+
+def edges_of(cache: DataFrame) -> DataFrame:
+    """The edges ``(src, dst, seq)`` of a stored adjacency table, with each
+    neighbour's place in its list."""
+    return cache.select(F.col("filename").alias("src"), F.posexplode("imports").alias("seq", "dst")).select("src", "dst", "seq")
+
+
 def expand(found: DataFrame, tree: DataFrame, most: int = 10) -> DataFrame:
     """Related implementation files that were not found themselves.  The cut
     comes before the category filter."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,6 +61,51 @@ def bm25_plus(docs: DataFrame, query: list[str], key: str = "doc", content: str
     return found.orderBy(F.desc("score"), "doc").limit(top_k) if top_k is not None else found
 
 
+BUCKETS = 16
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Stored postings: ``entries(bucket, term, doc, tf, dl)``, partitioned by
+    bucket and sorted by term, and ``stats(n, avgdl)``, one row."""
+
+    entries: DataFrame
+    stats: DataFrame
+
+
+def write_lexicon(docs: DataFrame, folder: str, key: str = "doc", content: str = "content") -> None:
+    """Counts every document's words once.  Entries are dealt by ranges of
+    bucket, term and document, so a word of every document fills several files."""
+    tokens = docs.select(F.col(key).alias("doc"), T.word_tokens(F.col(content)).alias("tokens"))
+    tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/stats")
+    entries = postings(docs, key, content).withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int"))
+    dealt = entries.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/entries")
+
+
+def read_lexicon(spark: SparkSession, folder: str) -> Lexicon:
+    return Lexicon(spark.read.parquet(f"{folder}/entries"), spark.read.parquet(f"{folder}/stats"))
+
+
+def bm25_plus_stored(lexicon: Lexicon, query: list[str], top_k: int | None = 10, threshold: float = 0.0, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
+    """``bm25_plus`` over stored postings: only the partitions and row groups
+    of the query's terms are read."""
+    terms = Counter(query)
+    if not terms:
+        return lexicon.entries.select("doc", F.lit(0.0).alias("score")).limit(0)
+    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+    rows = lexicon.entries.filter(F.col("bucket").isin(buckets) & F.col("term").isin(*terms))
+    df = F.broadcast(rows.groupBy("term").agg(F.count("*").alias("df")))  # a row for each term of the query
+    times = F.lit(0)
+    for t, n in terms.items():
+        times = F.when(F.col("term") == t, n).otherwise(times)
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = rows.join(df, "term").crossJoin(F.broadcast(lexicon.stats)).select("doc", (times * idf * (part + delta)).alias("score"))  # stats: one row
+    found = scored.groupBy("doc").agg(F.sum("score").alias("score")).filter(F.col("score") > threshold)
+    return found.orderBy(F.desc("score"), "doc").limit(top_k) if top_k is not None else found
+
+
 def keyword_fallback(docs: DataFrame, tokens: list[str], key: str = "doc", content: str = "content", top_k: int = 10) -> DataFrame:
     """Documents that hold any token, by share of tokens and length."""
     score = T.keyword_score(F.col(content), tokens)

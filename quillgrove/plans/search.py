@@ -9,6 +9,8 @@ below is a top-k cut of at most a few dozen rows, so its windows are small.
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -21,6 +23,9 @@ from ..functions import files as N
 from ..functions import text as T
 from ..operators import fusion, graph, lexical, spans, vectors
 from ..operators.diversity import content_mmr, file_mmr
+from ..storage import stored
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -32,6 +37,7 @@ class Index:
     centrality: DataFrame | None = None
     edges: DataFrame | None = None
     files: DataFrame | None = None
+    lexicon: lexical.Lexicon | None = None
 
 
 Reranker = Callable[[DataFrame, str, int], DataFrame]
@@ -51,25 +57,43 @@ def vector_list(index: Index, vector: list[float], k: int = 30) -> DataFrame:
     return vectors.nearest(_doc(index.chunks), vector, top_k=k)
 
 
+def searched(chunks: DataFrame) -> DataFrame:
+    """``(doc, content)`` as the lexical backends read chunks."""
+    return _doc(chunks).select("doc", T.search_content(F.col("content")).alias("content"))
+
+
 def lexical_list(index: Index, tokens: list[str], k: int = 30) -> DataFrame:
-    """BM25+; where no word matches, the keyword fallback."""
-    docs = _doc(index.chunks).select("doc", T.search_content(F.col("content")).alias("content"))
-    found = lexical.bm25_plus(docs, tokens, top_k=k)
-    return found if found.limit(1).count() else lexical.keyword_fallback(docs, tokens, top_k=k)
+    """BM25+, over stored postings where the index has them; where no word
+    matches, the keyword fallback.  The list is computed here, once."""
+    if index.lexicon is not None:
+        found = stored(lexical.bm25_plus_stored(index.lexicon, tokens, top_k=k), "list")
+    else:
+        found = stored(lexical.bm25_plus(searched(index.chunks), tokens, top_k=k), "list")
+    return found if found.limit(1).count() else lexical.keyword_fallback(searched(index.chunks), tokens, top_k=k)
 
 
 def symbol_list(index: Index, tokens: list[str], vector: list[float] | None, k: int = 30, files: DataFrame | None = None, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
-    """Symbols by vector and by full text, at 2k each, fused and cut."""
+    """Symbols by vector and by full text, at 2k each, fused and cut.  A side
+    that fails (vectors of another length, say) is logged and left out."""
     symbols = index.symbols.withColumn("doc", F.sha2(F.concat_ws("\0", "filename", "symbol_name", "symbol_type", "line_start", "line_end"), 256))
     if files is not None:
         symbols = symbols.join(files.select("filename").distinct(), "filename", "left_semi")
     content = F.concat_ws(" ", "symbol_name", "signature", F.coalesce("docstring", F.lit("")))
     docs = symbols.select("doc", T.search_content(content).alias("content"))
     matching = docs.filter(lexical.matches(F.col("content"), tokens, every=True))
-    lists, shares = [fusion.ranked(lexical.bm25_plus(matching, tokens, top_k=2 * k, threshold=-1.0))], [weights[1]]
+    sides = [(weights[1], lambda: lexical.bm25_plus(matching, tokens, top_k=2 * k, threshold=-1.0))]
     if vector is not None and "embedding" in symbols.columns:
-        lists.append(fusion.ranked(vectors.nearest(symbols, vector, top_k=2 * k)))
-        shares.append(weights[0])
+        sides.append((weights[0], lambda: vectors.nearest(symbols, vector, top_k=2 * k)))
+    lists, shares, failed = [], [], []
+    for weight, make in sides:
+        try:
+            lists.append(fusion.ranked(stored(make(), "list")))  # 2k rows, computed once
+            shares.append(weight)
+        except Exception as e:  # one side's failure is not the search's
+            log.warning("a side of the symbol search failed", exc_info=True)
+            failed.append(e)
+    if not lists:
+        raise QuillgroveError("both sides of the symbol search failed") from failed[0]
     fused = fusion.rrf_results(lists, shares).orderBy(F.desc("score"), "doc").limit(k)
     return F.broadcast(fused.drop("best")).join(symbols, "doc")  # k rows
 
@@ -99,11 +123,13 @@ def hybrid(index: Index, query: str, vector: list[float] | None, top_k: int = 10
     def attempt(weight: float, make: Callable[[], tuple[DataFrame, DataFrame]]) -> None:
         try:
             found, content = make()
+            found = stored(found, "list")  # at most k rows, computed once
             if found.limit(1).count():
                 lists.append(fusion.ranked(found.select("doc", "score")))
                 weights.append(weight)
                 contents.append(content)
         except Exception as e:  # one backend's failure is not the search's
+            log.warning("a search backend failed", exc_info=True)
             failed.append(e)
 
     rows = _doc(index.chunks).select("doc", "filename", "location", "content")
@@ -114,7 +140,7 @@ def hybrid(index: Index, query: str, vector: list[float] | None, top_k: int = 10
     if index.symbols is not None:
 
         def by_symbol() -> tuple[DataFrame, DataFrame]:
-            found = _symbol_rows(symbol_list(index, tokens, vector, k))
+            found = stored(_symbol_rows(symbol_list(index, tokens, vector, k)), "list")
             return found, found.drop("score")
 
         attempt(settings.symbol_weight, by_symbol)
@@ -133,7 +159,7 @@ def hybrid(index: Index, query: str, vector: list[float] | None, top_k: int = 10
             df = fusion.centrality_boost(df, index.centrality, settings.centrality_weight)
         return fusion.category_boost(df, settings=settings)
 
-    found = boosted(found)
+    found = fusion.resorted(boosted(found))
     if reranker is not None:
         found = boosted(reranker(found, query, top_k))
     return found.orderBy(F.desc("score"), "rank").limit(top_k).select("filename", "location", "content", "score")
@@ -242,13 +268,30 @@ def curated_sections(index: Index, query: str, vector: list[float] | None, setti
     return left.select("rank", "filename", "line_start", end.alias("line_end"), text.alias("content"), "source", F.round("score", 6).alias("score"))
 
 
+def with_symbol_files(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Found files with their category and source, and then, by name, the files
+    that only symbols were found in, by reference."""
+    kind = N.category(F.col("filename"))
+    near = F.when(F.col("rank") >= 1000, "graph").otherwise("search")
+    files = found.withColumn("category", kind).withColumn("source", near)
+    more = symbols.select("filename").distinct().join(found.select("filename"), "filename", "left_anti")  # a top-k list
+    rank = (F.row_number().over(Window.orderBy("filename")) + 2000).cast("int")
+    none = F.array().cast("array<string>")
+    return files.unionByName(more.select(rank.alias("rank"), "filename", F.lit(None).cast("double").alias("score"), F.lit("").alias("content"), none.alias("locations"), F.lit(True).alias("is_reference_only"), kind.alias("category"), F.lit("symbol").alias("source")))
+
+
 def diagnostics(index: Index, query: str, vector: list[float] | None, settings: Settings = Settings()) -> dict:
-    """Tokens, corpus statistics and the size of each backend's list."""
-    spark = index.chunks.sparkSession
-    tokens = tokens_of(spark, query)
-    out = {"tokens": tokens, "stats": lexical.corpus_stats(index.chunks).first().asDict(), "lexical": lexical_list(index, tokens, settings.candidates).count()}
+    """Tokens, the lexical backend, corpus statistics, and the size and the
+    seconds of each backend's list."""
+    tokens = tokens_of(index.chunks.sparkSession, query)
+    out = {"tokens": tokens, "backend": "postings" if index.lexicon is not None else "scan", "stats": lexical.corpus_stats(index.chunks).first().asDict(), "seconds": {}}
+    lists = {"lexical": lambda: lexical_list(index, tokens, settings.candidates)}
     if vector is not None:
-        out["vector"] = vector_list(index, vector, settings.candidates).count()
+        lists["vector"] = lambda: vector_list(index, vector, settings.candidates)
     if index.symbols is not None:
-        out["symbols"] = symbol_list(index, tokens, vector, settings.candidates).count()
+        lists["symbols"] = lambda: symbol_list(index, tokens, vector, settings.candidates)
+    for name, make in lists.items():
+        began = time.perf_counter()
+        out[name] = make().count()
+        out["seconds"][name] = round(time.perf_counter() - began, 3)
     return out

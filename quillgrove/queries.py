@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from .functions import text as T
 from .functions.stemming import english_terms
 from .operators import calls, cover, evaluate, fusion, graph, lexical, spans, tables, vectors
 from .operators.diversity import content_mmr, file_mmr
+from .storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,6 +67,18 @@ def bm25_sql(terms: list[str], where: str = "score > 0", limit: str = "ORDER BY
 
 # lexical
 
+_LEXICA: dict[tuple[str, str], str] = {}
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> lexical.Lexicon:
+    """The stored postings of all documents, written once an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _LEXICA:
+        folder = f"{shared_dir(spark)}/lexicon-{uuid.uuid4().hex}"
+        lexical.write_lexicon(docs(spark, sf_dir), folder)
+        _LEXICA[at] = folder
+    return lexical.read_lexicon(spark, _LEXICA[at])
+
 
 @query("SELECT count(*) AS n_docs, round(avg(length(text)), 6) AS avg_len, CAST(sum(length(text)) AS BIGINT) AS total_len, count(DISTINCT source) AS n_sources FROM documents")
 def corpus_stats(spark, sf_dir):
@@ -90,17 +104,17 @@ def postings(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT doc, round(score, 6) AS score FROM bm")
 def bm25_plus_topk(spark, sf_dir):
-    return lexical.bm25_plus(docs(spark, sf_dir), TERMS).select("doc", r6(F.col("score"), "score"))
+    return lexical.bm25_plus_stored(lexicon(spark, sf_dir), TERMS).select("doc", r6(F.col("score"), "score"))
 
 
 @query(f"WITH {DOCS}, {bm25_sql(TERMS, 'score > 3.5', '')} SELECT doc, round(score, 6) AS score FROM bm")
 def bm25_threshold(spark, sf_dir):
-    return lexical.bm25_plus(docs(spark, sf_dir), TERMS, threshold=3.5, top_k=None).select("doc", r6(F.col("score"), "score"))
+    return lexical.bm25_plus_stored(lexicon(spark, sf_dir), TERMS, threshold=3.5, top_k=None).select("doc", r6(F.col("score"), "score"))
 
 
 @query(f"WITH {DOCS}, {bm25_sql(TERMS + TERMS[:1])} SELECT doc, round(score, 6) AS score FROM bm")
 def bm25_repeated_terms(spark, sf_dir):
-    return lexical.bm25_plus(docs(spark, sf_dir), TERMS + TERMS[:1]).select("doc", r6(F.col("score"), "score"))
+    return lexical.bm25_plus_stored(lexicon(spark, sf_dir), TERMS + TERMS[:1]).select("doc", r6(F.col("score"), "score"))
 
 
 _HITS = " + ".join(f"(CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END)" for t in TERMS)
@@ -135,7 +149,10 @@ def english_stems(spark, sf_dir):
     return rows.select("said", F.array_join(english_terms(F.col("said")), " ").alias("terms"))
 
 
-@query()
+@query(f"""WITH {DOCS}, t AS (SELECT doc, unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS i FROM docs),
+  h AS (SELECT doc, w, i, lag(w) OVER (PARTITION BY doc ORDER BY i) AS pw, lag(i) OVER (PARTITION BY doc ORDER BY i) AS prior FROM t WHERE w IN ('thing', 'orre')),
+  g AS (SELECT doc, CAST(count(DISTINCT w) AS INT) AS level, count(*)::DOUBLE AS n, sum(CASE WHEN pw <> w THEN least(1.0::DOUBLE, 16.0::DOUBLE / (i - prior + 1)) ELSE 0 END) AS s FROM h GROUP BY doc)
+  SELECT doc, level, round(CASE WHEN level = 1 THEN n ELSE s END, 6) AS score FROM g ORDER BY level DESC, CASE WHEN level = 1 THEN n ELSE s END DESC, doc LIMIT 20""")
 def cover_density(spark, sf_dir):
     return cover.cover_density(docs(spark, sf_dir), ["thing", "orre"], top_k=20).select("doc", "level", r6(F.col("score"), "score"))
 
@@ -249,7 +266,7 @@ def cosine_pairs_zero_norm(spark, sf_dir):
 def _lists(spark, sf_dir, k: int = 30):
     e = read(spark, sf_dir, "embeddings")
     near = vectors.nearest(e, _first_vector(e), "vec_id", top_k=k)
-    return fusion.ranked(near), fusion.ranked(lexical.bm25_plus(docs(spark, sf_dir), TERMS, top_k=k))
+    return fusion.ranked(near), fusion.ranked(lexical.bm25_plus_stored(lexicon(spark, sf_dir), TERMS, top_k=k))
 
 
 LISTS = f"""{DOCS}, {_COS}, l0 AS (SELECT doc, score, row_number() OVER (ORDER BY score DESC, doc) - 1 AS rank FROM vec QUALIFY rank < 30),
@@ -300,13 +317,13 @@ def adaptive_cut(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {bm25_sql(TERMS, limit='')}, b AS (SELECT doc, filename, lang, score * {WEIGHT} AS score FROM bm JOIN docs USING (doc)) SELECT doc, lang, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, doc) <= 3")
 def per_group_cap(spark, sf_dir):
-    found = lexical.bm25_plus(docs(spark, sf_dir), TERMS, top_k=None).join(docs(spark, sf_dir).select("doc", "filename", "lang"), "doc")
+    found = lexical.bm25_plus_stored(lexicon(spark, sf_dir), TERMS, top_k=None).join(docs(spark, sf_dir).select("doc", "filename", "lang"), "doc")
     return fusion.cap_per_group(fusion.category_boost(found), "lang", 3, [F.desc("score"), F.asc("doc")]).select("doc", "lang", r6(F.col("score"), "score"))
 
 
 @query(f"WITH {DOCS}, {bm25_sql(TERMS, limit='')}, b AS (SELECT doc, filename, score * {WEIGHT} AS score FROM bm JOIN docs USING (doc)) SELECT doc, filename, round(score, 6) AS score FROM b")
 def category_boost(spark, sf_dir):
-    found = lexical.bm25_plus(docs(spark, sf_dir), TERMS, top_k=None).join(docs(spark, sf_dir).select("doc", "filename"), "doc")
+    found = lexical.bm25_plus_stored(lexicon(spark, sf_dir), TERMS, top_k=None).join(docs(spark, sf_dir).select("doc", "filename"), "doc")
     return fusion.category_boost(found).select("doc", "filename", r6(F.col("score"), "score"))
 
 
@@ -333,17 +350,28 @@ def rerank_overlap(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    found = lexical.bm25_plus(docs(spark, sf_dir), TERMS, top_k=30)
+    found = lexical.bm25_plus_stored(lexicon(spark, sf_dir), TERMS, top_k=30)
     named = F.broadcast(found).join(docs(spark, sf_dir).select("doc", "filename", "content"), "doc")  # 30 rows
     return fusion.ranked(named.withColumn("category", N.category(F.col("filename"))).withColumn("query", F.lit("q")))
 
 
-@query()
+_LISTED = f"""{DOCS}, {bm25_sql(TERMS, limit="ORDER BY score DESC, doc LIMIT 30")},
+  c AS (SELECT CAST(row_number() OVER (ORDER BY bm.score DESC, doc) - 1 AS INT) AS i, doc, bm.score AS score, {CATEGORY} AS category, list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '')) AS ws FROM bm JOIN docs USING (doc))"""
+_CHOSEN = "SELECT CAST(k - 1 AS INT) AS rank, {} FROM (SELECT unnest(ch) AS i, generate_subscripts(ch, 1) AS k FROM p WHERE n = least(10, (SELECT count(*) FROM c)) - 1) JOIN c USING (i)"
+_NEAR = "list_max(list_transform(p.ch, lambda x: m.s[c.i + 1][x + 1]))"
+
+
+@query(f"""WITH RECURSIVE {_LISTED}, j AS (SELECT a.i, b.i AS k, len(list_intersect(a.ws, b.ws)) AS same, len(a.ws) + len(b.ws) AS total FROM c a CROSS JOIN c b),
+  r AS (SELECT i, list(CASE WHEN total > same THEN same::DOUBLE / (total - same) ELSE 0 END ORDER BY k) AS s FROM j GROUP BY i), m AS (SELECT list(s ORDER BY i) AS s FROM r),
+  p AS (SELECT 0 AS n, [0] AS ch UNION ALL SELECT n + 1, list_append(ch, i) FROM (SELECT p.n, p.ch, c.i, row_number() OVER (ORDER BY 0.7::DOUBLE * c.score + (1 - 0.7::DOUBLE) * (1 - {_NEAR}) DESC, c.i) AS o FROM p CROSS JOIN c CROSS JOIN m WHERE p.n < 9 AND NOT list_contains(p.ch, c.i)) WHERE o = 1)
+  {_CHOSEN.format("doc, round(score, 6) AS score")}""")
 def mmr_content(spark, sf_dir):
     return content_mmr(_candidates(spark, sf_dir), 10).select("rank", "doc", r6(F.col("score"), "score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LISTED}, m AS (SELECT list(category ORDER BY i) AS k FROM c),
+  p AS (SELECT -1 AS n, []::INT[] AS ch UNION ALL SELECT n + 1, list_append(ch, i) FROM (SELECT p.n, p.ch, c.i, row_number() OVER (ORDER BY 0.6::DOUBLE * c.score - (1 - 0.6::DOUBLE) * len(list_filter(p.ch, lambda x: m.k[x + 1] = c.category)) / greatest(len(p.ch), 1) DESC, c.i) AS o FROM p CROSS JOIN c CROSS JOIN m WHERE p.n < 9 AND NOT list_contains(p.ch, c.i)) WHERE o = 1)
+  {_CHOSEN.format("doc, category, round(score, 6) AS score")}""")
 def mmr_files(spark, sf_dir):
     return file_mmr(_candidates(spark, sf_dir), 10).select("rank", "doc", "category", r6(F.col("score"), "score"))
 
@@ -370,12 +398,12 @@ RANKS = f"""{NATIONS}, w AS (SELECT src, dst, count(*) AS w FROM e GROUP BY ALL)
 
 @query(f"WITH RECURSIVE {RANKS} SELECT node, round(score, 6) AS score FROM pr WHERE i = 20")
 def pagerank(spark, sf_dir):
-    return graph.pagerank(nation_edges(spark, sf_dir)).select("node", r6(F.col("score"), "score"))
+    return graph.pagerank(nation_edges(spark, sf_dir), rounds=20, tolerance=None).select("node", r6(F.col("score"), "score"))
 
 
 @query(f"WITH RECURSIVE {RANKS}, f AS (SELECT node, score FROM pr WHERE i = 20), m AS (SELECT min(score) AS a, max(score) AS b FROM f) SELECT node AS filename, round(CASE WHEN a = b THEN 1.25 ELSE 0.5 + 1.5 * (score - a) / (b - a) END, 6) AS score FROM f, m")
 def centrality_norm(spark, sf_dir):
-    return graph.centrality(graph.pagerank(nation_edges(spark, sf_dir))).select("filename", r6(F.col("score"), "score"))
+    return graph.centrality(graph.pagerank(nation_edges(spark, sf_dir), rounds=20, tolerance=None)).select("filename", r6(F.col("score"), "score"))
 
 
 def part_edges(spark, sf_dir) -> DataFrame:
@@ -394,10 +422,15 @@ def bfs_distances(spark, sf_dir):
     return graph.bfs_distances(part_edges(spark, sf_dir), starts, 2)
 
 
-@query(f"WITH {PARTS}, s AS (SELECT 1::BIGINT AS source, dst AS target, 0 AS way FROM e WHERE src = 1 UNION ALL SELECT 1, src, 1 FROM e WHERE dst = 1), f AS (SELECT source, target, min(way) AS way FROM s GROUP BY ALL) SELECT source, target, CASE way WHEN 0 THEN 'imports' ELSE 'imported_by' END AS relation, 1 AS hop FROM f ORDER BY f.way, target LIMIT 10")
+@query(f"""WITH {PARTS}, b AS (SELECT src, dst, 0 AS way FROM e UNION ALL SELECT dst, src, 1 FROM e),
+  f AS (SELECT dst AS node, min(way) AS way FROM b WHERE src = 1 GROUP BY dst), f1 AS (SELECT *, row_number() OVER (ORDER BY way, node) AS place FROM f),
+  s AS (SELECT b.dst AS node, f1.place, b.way, b.src FROM f1 JOIN b ON b.src = f1.node WHERE b.dst <> 1 AND b.dst NOT IN (SELECT node FROM f1)),
+  f2 AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY node ORDER BY place, way, src) = 1 ORDER BY place, way, node LIMIT greatest(200 - (SELECT count(*) FROM f1), 0)),
+  every AS (SELECT 1::BIGINT AS source, node AS target, way, 1 AS hop FROM (SELECT * FROM f1 ORDER BY place LIMIT 200) UNION ALL SELECT src, node, way, 2 FROM f2)
+  SELECT source, target, CASE way WHEN 0 THEN 'imports' ELSE 'imported_by' END AS relation, hop FROM every""")
 def bfs_tree(spark, sf_dir):
     starts = spark.createDataFrame([(1, 0)], "node long, place long")
-    return graph.bfs_tree(part_edges(spark, sf_dir), starts, 3, 10)
+    return graph.bfs_tree(part_edges(spark, sf_dir), starts, 2, 200)
 
 
 def event_edges(spark, sf_dir) -> DataFrame:
@@ -410,10 +443,13 @@ def event_edges(spark, sf_dir) -> DataFrame:
 CALLS = "c AS (SELECT * FROM (SELECT event_id, event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target, event_id % 10 / 10.0::DOUBLE AS confidence, 'u' || user_id AS source_file, event_id AS source_line FROM events) WHERE target IS NOT NULL)"
 
 
-@query(f"WITH {CALLS}, g AS (SELECT DISTINCT source || user_.u AS src, target || user_.u AS dst FROM c, (SELECT '' AS u) user_), n AS (SELECT src AS node FROM g UNION SELECT dst FROM g) SELECT node, (SELECT min(node) FROM n) AS component FROM n")
+@query(f"""WITH RECURSIVE {CALLS}, g AS (SELECT DISTINCT source_file || source AS src, source_file || target AS dst FROM c WHERE confidence >= 0.6), n AS (SELECT src AS node FROM g UNION SELECT dst FROM g),
+  r AS (SELECT src, dst FROM g UNION SELECT r.src, g.dst FROM r JOIN g ON g.src = r.dst), both_ways AS (SELECT a.src AS node, a.dst AS other FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src)
+  SELECT node, coalesce(least(node, min(other)), node) AS component FROM n LEFT JOIN both_ways USING (node) GROUP BY node""")
 def scc(spark, sf_dir):
-    e = event_edges(spark, sf_dir).select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    return graph.strong_components(e)
+    """Each user's own event types; many components of several sizes."""
+    named = lambda c: F.concat("source_file", F.col(c))
+    return graph.strong_components(event_edges(spark, sf_dir).filter("confidence >= 0.6").select(named("source").alias("src"), named("target").alias("dst")))
 
 
 @query(f"WITH {CALLS} SELECT event_id, source, confidence FROM c WHERE target = 'purchase' AND confidence >= 0.7")
@@ -450,15 +486,18 @@ def usage_summary(spark, sf_dir):
     return calls.usage(found).select("definitions", "calls", F.size("files").cast("long").alias("n_files"))
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, p_brand AS filename, p_type AS name, p_size AS line, CASE WHEN p_size % 2 = 0 THEN 'public' ELSE 'private' END AS vis FROM part),
-  a AS (SELECT filename, name, first(id ORDER BY line, id) AS s1 FROM s GROUP BY ALL), p AS (SELECT name, first(id ORDER BY CASE WHEN contains(lower(filename), lower(name)) THEN 0 ELSE 1 END, filename, line, id) AS s3 FROM s WHERE vis = 'public' GROUP BY name),
-  k AS (SELECT p_partkey AS call_id, 'Brand#' || (p_partkey % 7) AS file, p_type AS name FROM part)
-  SELECT call_id, coalesce(s1, s3) AS symbol_id, CASE WHEN s1 IS NOT NULL THEN 1.0::DOUBLE WHEN s3 IS NOT NULL THEN 0.7 ELSE 0.5 END AS confidence FROM k LEFT JOIN a ON a.filename = k.file AND a.name = k.name LEFT JOIN p ON p.name = k.name""")
+@query("""WITH s AS (SELECT p_partkey AS id, p_brand AS filename, p_type AS name, p_size AS line, CASE WHEN p_size % 3 = 0 THEN 'Class' || (p_partkey % 5) END AS parent, CASE WHEN p_size % 2 = 0 THEN 'public' ELSE 'private' END AS vis FROM part),
+  a AS (SELECT filename, name, first(id ORDER BY line, id) AS s1 FROM s GROUP BY ALL), b AS (SELECT name, parent, first(id ORDER BY filename, line, id) AS s2 FROM s WHERE parent IS NOT NULL GROUP BY ALL),
+  p AS (SELECT name, first(id ORDER BY CASE WHEN contains(lower(filename), lower(name)) THEN 0 ELSE 1 END, filename, line, id) AS s3 FROM s WHERE vis = 'public' GROUP BY name),
+  k AS (SELECT p_partkey AS call_id, 'Brand#' || (p_partkey % 7) AS file, CASE WHEN p_partkey % 11 = 0 THEN 'nowhere' ELSE p_type END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'Class' || (p_partkey % 5) END AS object FROM part)
+  SELECT call_id, coalesce(s1, s2, s3) AS symbol_id, CASE WHEN coalesce(s1, s2) IS NOT NULL THEN 1.0::DOUBLE WHEN s3 IS NOT NULL THEN 0.7 ELSE 0.5 END AS confidence
+  FROM k LEFT JOIN a ON a.filename = k.file AND a.name = k.name LEFT JOIN b ON b.name = k.name AND b.parent = k.object LEFT JOIN p ON p.name = k.name""")
 def resolve_cascade(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
+    part, key = read(spark, sf_dir, "part"), F.col("p_partkey")
+    owner = F.concat(F.lit("Class"), (key % 5).cast("string"))
     visible = F.when(F.col("p_size") % 2 == 0, "public").otherwise("private")
-    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("filename"), F.col("p_type").alias("symbol_name"), F.col("p_size").alias("line_start"), F.lit(None).cast("string").alias("parent_symbol"), visible.alias("visibility"))
-    made = part.select(F.col("p_partkey").alias("call_id"), F.concat(F.lit("Brand#"), (F.col("p_partkey") % 7).cast("string")).alias("file"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("object"))
+    symbols = part.select(key.alias("symbol_id"), F.col("p_brand").alias("filename"), F.col("p_type").alias("symbol_name"), F.col("p_size").alias("line_start"), F.when(F.col("p_size") % 3 == 0, owner).alias("parent_symbol"), visible.alias("visibility"))
+    made = part.select(key.alias("call_id"), F.concat(F.lit("Brand#"), (key % 7).cast("string")).alias("file"), F.when(key % 11 == 0, "nowhere").otherwise(F.col("p_type")).alias("name"), F.when(key % 2 == 0, owner).alias("object"))
     return calls.resolve(made, symbols)
 
 
@@ -485,7 +524,7 @@ def import_dependencies(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {RANKS}, f AS (SELECT node, score FROM pr WHERE i = 20), m AS (SELECT min(score) AS a, max(score) AS b FROM f), c AS (SELECT node, CASE WHEN a = b THEN 1.25 ELSE 0.5 + 1.5 * (score - a) / (b - a) END AS c FROM f, m) SELECT s_suppkey, round(s_acctbal * (1 + (coalesce(c, 1.0) - 1) * 0.5), 6) AS score FROM supplier LEFT JOIN c ON c.node = s_nationkey")
 def centrality_boost(spark, sf_dir):
-    central = graph.centrality(graph.pagerank(nation_edges(spark, sf_dir)))
+    central = graph.centrality(graph.pagerank(nation_edges(spark, sf_dir), rounds=20, tolerance=None))
     found = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("filename"), F.col("s_acctbal").alias("score"))
     return fusion.centrality_boost(found, central, 0.5).select("s_suppkey", r6(F.col("score"), "score"))
 
@@ -528,7 +567,7 @@ def top3_per_group(spark, sf_dir):
 
 def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     by = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    found = lexical.bm25_plus(docs(spark, sf_dir), TERMS, top_k=None).join(docs(spark, sf_dir).select("doc", F.col("lang").alias("query")), "doc")
+    found = lexical.bm25_plus_stored(lexicon(spark, sf_dir), TERMS, top_k=None).join(docs(spark, sf_dir).select("doc", F.col("lang").alias("query")), "doc")
     ranks = found.withColumn("rank", F.row_number().over(by)).select("query", "rank", "doc")
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").cast("double").alias("rel"))
     return ranks, labels.join(docs(spark, sf_dir).select("doc", F.col("lang").alias("query")), "doc").select("query", "doc", "rel")
@@ -574,12 +613,15 @@ def latency_metrics(spark, sf_dir):
 # tables
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'deleted' WHEN doc_id % 10 = 2 THEN 'changed' ELSE 'same' END AS status FROM documents")
+@query("""WITH d AS (SELECT doc_id, substr(sha256(text), 1, 16) AS h FROM documents), o AS (SELECT doc_id, CASE WHEN doc_id % 10 IN (3, 4) THEN NULL ELSE h END AS h FROM d WHERE doc_id % 10 <> 0),
+  n AS (SELECT doc_id, CASE doc_id % 10 WHEN 2 THEN substr(sha256(upper(h)), 1, 16) WHEN 3 THEN NULL ELSE h END AS h FROM d WHERE doc_id % 10 <> 1)
+  SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'same' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def hash_diff(spark, sf_dir):
+    """Added, deleted, changed, unknown on both sides and on one."""
     d = read(spark, sf_dir, "documents").select("doc_id", T.file_hash(F.col("text")).alias("hash"))
-    part = F.col("doc_id") % 10
-    old, new = d.filter(part != 0), d.filter(part != 1).withColumn("hash", F.when(part == 2, F.reverse("hash")).otherwise(F.col("hash")))
-    new = new.withColumn("hash", F.when(part == 2, F.concat(F.lit("x"), "hash")).otherwise(F.col("hash")))
+    part, none = F.col("doc_id") % 10, F.lit(None).cast("string")
+    old = d.filter(part != 0).withColumn("hash", F.when(part.isin(3, 4), none).otherwise(F.col("hash")))
+    new = d.filter(part != 1).withColumn("hash", F.when(part == 2, T.file_hash(F.upper("hash"))).when(part == 3, none).otherwise(F.col("hash")))
     return tables.changes(old, new, "doc_id", "hash")
 
 

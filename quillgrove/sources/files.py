@@ -8,8 +8,17 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXTENSIONS = tuple("c cc cpp cs go h hpp java js json jsx md mdx php py rb rs ts tsx".split())
-IGNORED = (".git/", "__pycache__/", "node_modules/", "dist/", "build/", "target/", ".venv/", "venv/", "*.min.js", "*.lock", ".DS_Store")
+# The endings and ignore globs that an index must agree on.
+EXTENSIONS = ("py", "rs", "ts", "tsx", "js", "jsx", "go", "java", "cpp", "c", "h", "hpp", "rb", "php", "swift", "kt", "scala", "md", "mdx")
+IGNORED = (
+    "**/.git/**", "**/.svn/**", "**/.hg/**",
+    "**/__pycache__/**", "**/*.pyc", "**/.venv/**", "**/venv/**", "**/*.egg-info/**", "**/.eggs/**", "**/site-packages/**", "**/dist-packages/**", "**/.tox/**", "**/.nox/**", "**/.pytest_cache/**", "**/.mypy_cache/**", "**/.ruff_cache/**",
+    "**/node_modules/**",
+    "**/target/**", "**/dist/**", "**/build/**", "**/out/**",
+    "**/.idea/**", "**/.vscode/**", "**/*.swp", "**/*.swo", "**/*~",
+    "**/.cache/**", "**/*.log",
+)
+IGNORE_FILE = ".gitignore"
 
 
 def glob_of(line: str) -> str | None:
@@ -41,11 +50,12 @@ def safe_relative(path: str) -> bool:
     return bool(path) and not path.startswith(("/", "\\")) and not re.match(r"[A-Za-z]:", path) and ".." not in re.split(r"[/\\]", path)
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """``(filename, content, mtime)`` below ``root``.  Names are filtered
-    before any content is read or decoded."""
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, ignored: tuple[str, ...] = IGNORED, only: list[str] | None = None) -> DataFrame:
+    """``(filename, content, mtime)`` below ``root``, of files ``only`` if
+    given.  Names are filtered before any content is read or decoded."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    paths = base if only is None else [f"{base}/" + re.sub(r"([\\\[\]{}*?])", r"\\\1", name) for name in only]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     bare = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     name = F.substring(bare, F.lit(len(re.sub("^[a-z0-9]+:/*", "/", base)) + 2), F.length(bare))
     found = raw.select(name.alias("filename"), "content", F.col("modificationTime").alias("mtime"))
@@ -56,6 +66,17 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
     return found.withColumn("content", F.col("content").cast("string"))
 
 
+def ignore_lines(spark: SparkSession, root: str, name: str = IGNORE_FILE) -> tuple[str, ...]:
+    """The lines of the root's ignore file, none without one.  It is a small
+    file of rules, read by Spark so that any store will do."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return ()
+    return tuple(r["value"] for r in spark.read.text(str(path)).collect())
+
+
 def modified(files: DataFrame, since: datetime | None) -> DataFrame:
-    """Files that changed after a naive UTC time; all without one."""
-    return files if since is None else files.filter(F.col("mtime") > F.lit(since))
+    """Files that changed after a naive UTC time; all without one.  A file of
+    unknown time counts as changed."""
+    return files if since is None else files.filter(F.col("mtime").isNull() | (F.col("mtime") > F.lit(since)))

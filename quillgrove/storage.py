@@ -6,14 +6,18 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
+import time
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,8 +50,47 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+class Existence:
+    """What the driver knows to be there or not: for ``hit`` and ``miss``
+    seconds.  Safe to share between threads."""
+
+    def __init__(self, hit: float = 300.0, miss: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        self.ttl, self.clock = {True: hit, False: miss}, clock
+        self.held: dict[str, tuple[bool, float]] = {}
+        self.lock = threading.Lock()
+
+    def get(self, key: str) -> bool | None:
+        with self.lock:
+            there, since = self.held.get(key, (None, 0.0))
+            return there if there is not None and self.clock() - since < self.ttl[there] else None
+
+    def put(self, key: str, there: bool) -> bool:
+        with self.lock:
+            self.held[key] = (there, self.clock())
+        return there
+
+    def forget(self, key: str | None = None) -> None:
+        with self.lock:
+            if key is None:
+                self.held.clear()
+            else:
+                self.held.pop(key, None)
+
+
 def stored(df: DataFrame, what: str = "step") -> DataFrame:
     """Writes a table to the shared folder and reads it from there."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that ``stored`` has written in this application; to
+    be called when no result that is still lazy reads them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
