@@ -198,15 +198,18 @@ def _links(percent: float, shapes: dict[int, tuple[int, int]]):
         vec, key = group.column(names.index("vec")), int(group.column(names.index("key"))[0].as_py())
         table, (tables, bits) = key >> 40 & 0xFF, shapes[key >> 48]
         codes = np.frombuffer(b"".join(group.column(names.index("code")).to_pylist()), np.uint8).reshape(len(group), -1)
-        keys = np.unpackbits(codes, axis=1)[:, : tables * bits].reshape(len(group), tables, bits)
+        keys = np.unpackbits(codes, axis=1)[:, : tables * bits].reshape(len(group), tables, bits) @ (1 << np.arange(bits))
         x = _unit(_vectors(vec, key >> 48))
         q, m = np.flatnonzero(asks), np.flatnonzero(member)
-        a, b = np.nonzero(x[q] @ x[m].T >= percent - 1e-9)
+        near = x[q] @ x[m].T
+        a, b = np.nonzero(near >= percent - 1e-9)
+        close = near[a, b] < percent + 1e-9  # so close to the threshold that the order of summing may decide
         a, b = q[a], m[b]
-        exact = (x[a] * x[b]).sum(1) >= percent
-        fresh = exact & (a != b)
+        fresh = a != b
+        for i in np.flatnonzero(close & fresh).tolist():
+            fresh[i] = float((x[a[i]] * x[b[i]]).sum()) >= percent
         for t in range(table):
-            fresh[fresh] = (keys[a[fresh], t] != keys[b[fresh], t]).any(1)
+            fresh &= keys[a, t] != keys[b, t]
         a, b = a[fresh], b[fresh]
         if not len(a):
             return None
