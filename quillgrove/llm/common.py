@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 _SHIPPED: set[str] = set()
+_ROOTS: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -87,6 +89,17 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes all scratch tables of this application; to be called when no
+    result that is still lazy reads them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    roots = _ROOTS.pop(spark.sparkContext.applicationId, [])
+    for root in roots:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+    return len(roots)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps now: it does so
     when the driver collects the plans that wrote them, and a driver with

@@ -49,8 +49,6 @@ def test_near_on_families_around_the_threshold(spark, seed):
     rows = family(seed, 40)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert collected(near_dedup.near_dedup(df)) == near(rows)
-    # sets joined rather than broadcast: the same rows
-    assert collected(near_dedup.near_dedup(df)) == near(rows)
 
 
 def test_near_settles_a_bucket_of_many_tiles(spark, monkeypatch):
