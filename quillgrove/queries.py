@@ -730,29 +730,34 @@ def chunk_documents(spark, sf_dir):
     return chunks.groupBy("filename").agg(F.count("*").alias("chunks"), F.max("end").alias("size"))
 
 
-@query()
-def hybrid_search(spark, sf_dir):
-    from .functions.embedding import hashing_provider, with_embedding
-    from .plans.search import Index, hybrid
-
-    rows = docs(spark, sf_dir).select("filename", F.lit("[0, 1)").alias("location"), "content")
-    provider = hashing_provider()
-    found = hybrid(Index(with_embedding(rows, "content", provider)), "thing orre hehely", provider(["thing orre hehely"])[0], 10)
-    return found.select("filename", r6(F.col("score"), "score"))
-
-
 def _index(spark, sf_dir):
-    """An index over the documents, one chunk each, and the code fixtures."""
+    """An index over the documents and the code fixtures, in chunks with their
+    true places; its tables are written once an application, like an engine's."""
     from . import parsing
     from .functions.embedding import hashing_provider, with_embedding
-    from .plans.search import Index
+    from .plans.search import Index, searched
 
+    provider, at = hashing_provider(), (spark.sparkContext.applicationId, f"{sf_dir} index")
     files = docs(spark, sf_dir).select("filename", "content").unionByName(code_files(spark))
-    provider = hashing_provider()
-    place = F.concat(F.lit("[0, "), F.least(F.length("content"), F.lit(400)).cast("string"), F.lit(")"))
-    chunks = with_embedding(files.withColumn("location", place), "content", provider)
     symbols = with_embedding(parsing.file_symbols(code_files(spark)), "signature", provider)
-    return Index(chunks, symbols, None, parsing.import_graph(code_files(spark)), files), provider
+    if at not in _LEXICA:
+        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        place = F.concat(F.lit("["), "start", F.lit(", "), "end", F.lit(")"))
+        with_embedding(parsing.file_chunks(files).withColumn("location", place), "content", provider).write.parquet(f"{folder}/chunks")
+        lexical.write_lexicon(searched(spark.read.parquet(f"{folder}/chunks")), f"{folder}/lexicon")
+        symbols.write.parquet(f"{folder}/symbols")
+        _LEXICA[at] = folder
+    kept = lambda t: spark.read.parquet(f"{_LEXICA[at]}/{t}")
+    return Index(kept("chunks"), kept("symbols"), None, parsing.import_graph(code_files(spark)), files, lexical.read_lexicon(spark, f"{_LEXICA[at]}/lexicon")), provider
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    from .plans.search import hybrid
+
+    index, provider = _index(spark, sf_dir)
+    found = hybrid(index, "thing orre hehely", provider(["thing orre hehely"])[0], 10)
+    return found.select("filename", "location", r6(F.col("score"), "score"))
 
 
 @query()
