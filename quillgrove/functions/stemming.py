@@ -98,11 +98,14 @@ def stem(word: str) -> str:
 
 def english_terms(text: Column) -> Column:
     """Stems of a text's words without stop words, in order with repeats.  Words
-    are found in the JVM; only stemming runs in Python, in Arrow batches."""
+    are found in the JVM; only stemming runs in Python, once for each distinct
+    word of an Arrow batch."""
     from .text import word_tokens
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def stems(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: [stem(w) for w in ws if w not in ENGLISH_STOP_WORDS] if ws is not None else [])
+        distinct = {w for ws in words if ws is not None for w in ws}
+        known = {w: stem(w) for w in distinct if w not in ENGLISH_STOP_WORDS}
+        return words.map(lambda ws: [known[w] for w in ws if w in known] if ws is not None else [])
 
     return stems(word_tokens(text))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -15,12 +15,12 @@ def resolve(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     object's class (1.0); any public symbol of that name, those in files named
     so first (0.7); else none (0.5).  ``calls``: call_id, file, name, object."""
     s = symbols.select("symbol_id", "filename", "symbol_name", "line_start", "parent_symbol", "visibility")
-    first = lambda by, order: s.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1")
-    same = first(["filename", "symbol_name"], ["line_start", "symbol_id"]).select(F.col("filename").alias("file"), F.col("symbol_name").alias("name"), F.col("symbol_id").alias("s1"))
-    member = first(["symbol_name", "parent_symbol"], ["filename", "line_start", "symbol_id"]).filter("parent_symbol is not null").select(F.col("symbol_name").alias("name"), F.col("parent_symbol").alias("object"), F.col("symbol_id").alias("s2"))
+    # aggregates, combined before the shuffle: a name that very many symbols have is no hot task
+    first = lambda rows, by, order: rows.groupBy(*by).agg(F.min(F.struct(*order, "symbol_id")).alias("_s"))
+    same = first(s, ["filename", "symbol_name"], ["line_start"]).select(F.col("filename").alias("file"), F.col("symbol_name").alias("name"), F.col("_s.symbol_id").alias("s1"))
+    member = first(s.filter("parent_symbol is not null"), ["symbol_name", "parent_symbol"], ["filename", "line_start"]).select(F.col("symbol_name").alias("name"), F.col("parent_symbol").alias("object"), F.col("_s.symbol_id").alias("s2"))
     named = F.when(F.lower("filename").contains(F.lower("symbol_name")), 0).otherwise(1)
-    public = s.filter("visibility = 'public'").withColumn("_n", F.row_number().over(Window.partitionBy("symbol_name").orderBy(named, "filename", "line_start", "symbol_id")))
-    public = public.filter("_n = 1").select(F.col("symbol_name").alias("name"), F.col("symbol_id").alias("s3"))
+    public = first(s.filter("visibility = 'public'").withColumn("_named", named), ["symbol_name"], ["_named", "filename", "line_start"]).select(F.col("symbol_name").alias("name"), F.col("_s.symbol_id").alias("s3"))
     found = calls.join(same, ["file", "name"], "left").join(member, ["name", "object"], "left").join(public, "name", "left")
     sure = F.coalesce("s1", "s2")
     return found.select("call_id", F.coalesce(sure, "s3").alias("symbol_id"), F.when(sure.isNotNull(), 1.0).when(F.col("s3").isNotNull(), 0.7).otherwise(0.5).alias("confidence"))
