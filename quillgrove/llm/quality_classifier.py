@@ -125,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).join(ids, "k").select("k", "y", "t")
     rows = rows.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("t")).select("k", "y", "t.t")
     before = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")  # per_class rows at most
-    rows = rows.withColumn("bytes", F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).over(before)).filter((F.col("bytes") <= class_bytes) | (F.row_number().over(before) == 1))
+    rows = rows.withColumn("bytes", F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).over(before)).withColumn("nth", F.row_number().over(before))
+    rows = rows.filter((F.col("bytes") <= class_bytes) | (F.col("nth") == 1))
     found = rows.select("k", "y", "t").toPandas().sort_values("k")
     order = np.random.default_rng(0).permutation(len(found))
     texts = [bytes(t) if t is not None else b"" for t in found["t"]]
