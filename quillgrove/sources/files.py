@@ -67,13 +67,18 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
 
 
 def ignore_lines(spark: SparkSession, root: str, name: str = IGNORE_FILE) -> tuple[str, ...]:
-    """The lines of the root's ignore file, none without one.  It is a small
-    file of rules, read by Spark so that any store will do."""
+    """The lines of the root's ignore file, none without one.  It is small and
+    hidden, so it is read as a stream, from any store that Spark reaches."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return ()
-    return tuple(r["value"] for r in spark.read.text(str(path)).collect())
+    stream = fs.open(path)
+    try:
+        return tuple(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines())
+    finally:
+        stream.close()
 
 
 def modified(files: DataFrame, since: datetime | None) -> DataFrame:
