@@ -19,7 +19,7 @@ in a document with a smaller key.
    that holds a window has no settled segment around it, as a still smaller
    one would then hold the window too; so nothing is lost.
 
-Scale: there is one path for all sizes.  Anchors, segments and windows are
+Scale: there is one path and one plan of joins for all sizes.  Anchors, segments and windows are
 aggregated before they are shuffled, so a passage that a third of all
 documents hold is summed up first; the joins back are between written tables,
 which adaptive execution splits by skewed key.  Texts travel three times, to
@@ -188,7 +188,7 @@ def _late(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     smaller key also has; a place is a start and a number of windows."""
     first = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first")
     first = scratch.store(first, name)
-    late = found.join(first, ["h", "g"]).filter("doc_id > first")
+    late = found.join(first.hint("merge"), ["h", "g"]).filter("doc_id > first")
     return _by_text(late, F.col("size"))
 
 
@@ -237,13 +237,13 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", di
 
     keyed, on = _source(docs, key, text).filter("doc_id is not null"), ["doc_id", "row"]
     shared = step(_shared_anchors(keyed), "shared")
-    marks = step(_by_text(_anchor_rows(keyed, True).join(shared, "h")), "marks")
+    marks = step(_by_text(_anchor_rows(keyed, True).join(shared.hint("merge"), "h")), "marks")
     scratch.drop("shared")
-    segments = step(_matched(keyed.join(marks, on).select("doc_id", "text", "row", "places"), True), "segments")
+    segments = step(_matched(keyed.join(marks.hint("merge"), on).select("doc_id", "text", "row", "places"), True), "segments")
     settled = step(_late(segments, scratch, "first"), "settled")
     scratch.drop("segments", "first")
     known = marks.join(settled.withColumnRenamed("places", "settled"), on, "left")
-    single = step(_matched(keyed.join(known, on).select("doc_id", "text", "row", "places", "settled"), False), "windows")
+    single = step(_matched(keyed.join(known.hint("merge"), on).select("doc_id", "text", "row", "places", "settled"), False), "windows")
     late = step(_late(single, scratch, "first"), "late")
     scratch.drop("windows", "first", "marks")
     ranges = step(_removed(settled, late), "ranges")
@@ -263,7 +263,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     carry = carry if carry is None else tuple(beside(carry, "doc_id", "text", "row", "ranges", "n_words", "n_removed", last[0]))
     along = ["doc_id", "text", *(carry or ())]
     out = range(1 if carry is None else len(along))
-    joined = _source(docs, key, text, carry or ()).join(ranges, ["doc_id", "row"], "left").select(*along, "ranges")
+    joined = _source(docs, key, text, carry or ()).join(ranges.hint("merge"), ["doc_id", "row"], "left").select(*along, "ranges")
     schema = extended(joined.select(*(along[k] for k in out)).schema, n_words="long", n_removed="long")
     return joined.mapInArrow(run, schema.add(last[0], "string"))
 
