@@ -1,6 +1,6 @@
 """Token-id files with keyed access by a minimal perfect hash.
 
-A shard file holds, in ascending key order, the raw ids of its documents
+A file holds, in ascending key order, the raw ids of its documents
 (little-endian, 16 bits each where the vocabulary allows, else 32), one line
 feed after each document; then the keys and numbers of ids of its records (for
 scans only), the index, and a footer of fixed length with the places of both
@@ -15,13 +15,16 @@ its fingerprint but for one in 2**32.
 Files are written by Spark's own text writer (which copies bytes as they are)
 and read by ``binaryFile``, so they can live in any store that Spark reaches,
 and task commits keep them whole when executors are lost.  A shard is one
-range of keys; there are enough for about ``shard_bytes`` of text in each.  Rows
-of one key, or without one, are dealt to several shards by the start of
-their texts.
+range of keys, written by one task; there are enough for about ``shard_bytes``
+of text in each.  Rows of one key, or without one, are dealt to several shards
+by the start of their texts.  ``binaryFile`` holds a whole file several times, on
+the heap and beside it, so a shard is cut into as many files as it takes for
+each to have at most ``file_bytes`` of ids, or those of one slice of texts: how
+much a reader holds does not depend on how evenly the ranges were cut.
 
 Edge cases: null and empty texts are records with the end id only.  Very long
 texts are encoded whole.  Rows with a null key come first and are not indexed.
-Repeated keys are neighbouring records, ordered by text; a shard has one slot for
+Repeated keys are neighbouring records, ordered by text; a file has one slot for
 those that it holds.  An empty table gives files without records.  Other
 columns are not read.
 """
@@ -29,6 +32,7 @@ columns are not read.
 from __future__ import annotations
 
 import io
+import re
 import struct
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -118,7 +122,7 @@ def closing(keys: np.ndarray, n_null: int, counts: np.ndarray, width: int) -> li
 
 
 class Shard:
-    """One file, of which ``fetch(begin, size)`` reads a range."""
+    """One file of a shard, of which ``fetch(begin, size)`` reads a range."""
 
     def __init__(self, content: bytes | None = None, fetch: Callable[[int, int], bytes] | None = None, size: int = 0):
         self.fetch = fetch or (lambda begin, n: content[begin : begin + n])
@@ -171,6 +175,18 @@ class Shard:
         return keys, counts, begins
 
 
+#: Shard, and file within the shard, in the names that Spark's writer gives.
+_NAME = r"part-(\d+).*-c(\d+)"
+#: Spark's writer makes at most 1,000,000 files in a task.
+_PLACES = 1 << 20
+
+
+def number(name: str) -> int:
+    """Ascending in the order of the files."""
+    shard, file = re.search(_NAME, name).groups()
+    return int(shard) * _PLACES + int(file)
+
+
 class TokenFiles:
     """Keyed access to a folder of shards in any store that Spark reaches."""
 
@@ -190,7 +206,7 @@ class TokenFiles:
 
             return fetch
 
-        found = sorted((f.getPath().getName(), f) for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
+        found = sorted((number(f.getPath().getName()), f) for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
         shards = (Shard(fetch=reader(f.getPath()), size=f.getLen()) for _, f in found)
         self.shards = [s for s in shards if s.least <= s.greatest]  # in ascending order, as they were dealt
         self._greatest = [s.greatest for s in self.shards]
@@ -223,7 +239,7 @@ def narrow(ids: np.ndarray, width: int) -> np.ndarray:
     return ids.astype(f"<u{width}")
 
 
-def write(docs: DataFrame, to: str, path: str, end_id: int = 2, width: int | None = None, key: str = "doc_id", text: str = "text", shards: int | None = None, shard_bytes: int = 64 << 20) -> None:
+def write(docs: DataFrame, to: str, path: str, end_id: int = 2, width: int | None = None, key: str = "doc_id", text: str = "text", shards: int | None = None, shard_bytes: int = 64 << 20, file_bytes: int = 8 << 20) -> None:
     """Encodes whole texts, ``end_id`` after each, into files in folder ``to``."""
     spark = docs.sparkSession
     ship(spark)
@@ -234,32 +250,45 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = 2, width: int | Non
     width = width or id_width(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, keys, counts, n_null = encoder(path).encode, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        encode, wrote = encoder(path).encode, False
+        held, size, keys, counts, n_null = [], 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def file() -> pa.RecordBatch:
+            content = b"".join(held) + b"\n".join(closing(np.concatenate(keys), n_null, np.concatenate(counts), width))
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["value"])
+
         for batch in batches:
-            texts = column(batch, "text")
+            names, texts = batch.column(0), column(batch, "text")
             for i, j in slices(texts, 4_000_000):
                 ids, ends = encode(texts.slice(i, j - i))
                 ids = narrow(np.insert(ids, ends[1:], end_id), width)
                 ends = ends + np.arange(len(ends))
+                if held and size + len(ids) * width > file_bytes:
+                    yield file()
+                    wrote = True
+                    held, size, keys, counts, n_null = [], 0, keys[:1], counts[:1], 0
+                held.append(np.insert(ids.view(np.uint8), ends[1:] * width, ord("\n")).tobytes())
+                size += len(ids) * width
+                keys.append(names.slice(i, j - i).drop_null().to_numpy())
                 counts.append(np.diff(ends))
-                yield pa.RecordBatch.from_arrays([blobs(ids, ends)], names=["value"])
-            n_null += batch.column(0).null_count
-            keys.append(batch.column(0).drop_null().to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(closing(np.concatenate(keys), n_null, np.concatenate(counts), width), pa.binary())], names=["value"])
+                n_null += names.slice(i, j - i).null_count
+        if held or not wrote:
+            yield file()
 
     dealt = source.repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(to)
+    contents = dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    contents.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(to)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the files: ``shard``, ``doc_id``, ``start`` within the
-    shard, ``n_tokens`` and ``ids`` (32 bits each).  Every key's slot must
-    name its record."""
+    """Every record of the files: ``file`` (ascending numbers), ``doc_id``,
+    ``start`` within the file, ``n_tokens`` and ``ids`` (32 bits each).  Every
+    key's slot must name its record."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = Shard(memoryview(content.as_buffer()))
                 keys, counts, begins = x.records()
                 keys, starts = pa.concat_arrays([pa.nulls(x.n_null, pa.int64()), pa.array(keys)]), np.cumsum(counts) - counts
@@ -269,11 +298,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     n = counts[i:j]
                     at = spans(begins[i:j] - begins[i], n * x.width)
                     ids = np.frombuffer(x.fetch(int(begins[i]), int(at[-1]) + 1), np.uint8)[at].view(f"<u{x.width}")
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), keys.slice(i, j - i), pa.array(starts[i:j]), pa.array(n), blobs(ids.astype("<u4"), np.concatenate([[0], np.cumsum(n)]))], names=["shard", "doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), file, np.int64)), keys.slice(i, j - i), pa.array(starts[i:j]), pa.array(n), blobs(ids.astype("<u4"), np.concatenate([[0], np.cumsum(n)]))], names=["file", "doc_id", "start", "n_tokens", "ids"])
                     i = j
 
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
-    return files.mapInArrow(run, "shard int, doc_id long, start long, n_tokens long, ids binary")
+    shard, file = (F.regexp_extract("path", _NAME, k).cast("long") for k in (1, 2))
+    files = spark.read.format("binaryFile").load(folder).select((shard * _PLACES + file).alias("file"), "content")
+    return files.mapInArrow(run, "file long, doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(docs: DataFrame, path: str, to: str | None = None, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,10 +313,10 @@ def token_files(docs: DataFrame, path: str, to: str | None = None, end_id: int =
     scratch = Scratch(spark, "tokens")
     written, to = not to, to or scratch.path("files")
     write(docs, to, path, end_id, key=key, text=text)
-    found = read(spark, to).select("shard", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    found = read(spark, to).select("file", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     found = scratch.store(found, "found")
     if written:
         scratch.drop("files")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    bases = found.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return found.join(bases, "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    bases = found.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return found.join(bases, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -44,3 +47,25 @@ def test_shards_follow_the_bytes_of_text(spark, tmp_path):
     folder = f"file://{tmp_path}/files"
     token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, PATH, shard_bytes=10_000)
     assert len(list((tmp_path / "files").glob("part-*"))) > 4
+
+
+def test_a_large_shard_is_cut_into_files_of_bounded_size(spark, tmp_path):
+    """A reader holds whole files, so their size is bounded even if all rows are in one range of keys."""
+    body, end = "some words " * 60_000, [2]
+    inside = ids_of(body)[:-1]  # no id crosses white space
+    rows = [(None, "no key"), *((7, f"{k:03d} {body}") for k in range(100, 150)), (8, ""), (8, "after them"), (9, None)]
+    want = [np.array(ids_of(t[:4])[:-1] + inside + end if t and len(t) > 99 else ids_of(t or ""), "<u4") for _, t in rows]
+    folder = f"file://{tmp_path}/files"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    token_files.write(docs, folder, PATH, shards=1)
+    sizes = [p.stat().st_size for p in (tmp_path / "files").glob("part-*")]
+    assert sum(sizes) > 10_000_000 and max(sizes) < 9 << 20
+    files = token_files.TokenFiles(spark, folder)
+    for key, hits in ((7, want[1:51]), (8, want[51:53]), (9, want[53:]), (10, [])):
+        assert [x.astype("<u4").tobytes() for x in files.get(key)] == [x.tobytes() for x in hits]
+    back = token_files.read(spark, folder).orderBy("file", "start").collect()
+    assert [(r["doc_id"], bytes(r["ids"])) for r in back] == [(k, x.tobytes()) for (k, _), x in zip(rows, want, strict=True)]
+    found, at = token_files.token_files(docs, PATH).orderBy("start").collect(), 0
+    for (key, _), x, r in zip(rows, want, found, strict=True):
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (key, at, len(x), zlib.crc32(x.tobytes()))
+        at += len(x)
