@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import ship
+from ..storage import few_rows, ship
 
 log = logging.getLogger(__name__)
 Provider = Callable[[list[str]], list[list[float]]]
@@ -29,9 +29,9 @@ def hashing_provider(dimensions: int = 64) -> Provider:
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dimensions))
         for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"[^\W_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", text)):
-                h = zlib.crc32(word.lower().encode())
-                row[h % dimensions] += 1 if h >> 31 else -1
+            words = re.findall(r"[^\W_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", text))
+            h = np.array([zlib.crc32(w.lower().encode()) for w in words], np.int64)
+            row[:] = np.bincount(h % dimensions, np.where(h >> 31, 1.0, -1.0), dimensions)
             row /= max(float(np.linalg.norm(row)), 1e-12)
         return out.tolist()
 
@@ -106,7 +106,7 @@ def with_embedding(rows: DataFrame, content: str, provider: Provider, most_chars
     schema = rows.select("*", F.lit(None).cast("array<float>").alias("embedding")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             cut = [parts(t or "") for t in batch.column(at).to_pylist()]
             texts = [p for ps in cut for p in ps]
             made = iter([v for part in by_call(texts, BATCH, most_chars) for v in provider(part)])
