@@ -149,8 +149,10 @@ def hybrid(index: Index, query: str, vector: list[float] | None, top_k: int = 10
     if not lists:
         return rows.select("filename", "location", "content", F.lit(0.0).alias("score")).limit(0)
     fused = fusion.rrf_results(lists, weights, settings.rrf_k).drop("best").orderBy(F.desc("score"), "doc").limit(k)
-    named = reduce(DataFrame.unionByName, dict.fromkeys(contents)).dropDuplicates(["doc"]) if len(set(map(id, contents))) > 1 else contents[0].dropDuplicates(["doc"])
-    found = fusion.ranked(F.broadcast(fused).join(named, "doc"))  # k rows
+    # k rows; copies of a chunk are told apart here, so that no other text is shuffled
+    named = F.broadcast(fused).join(reduce(DataFrame.unionByName, dict.fromkeys(contents)), "doc")
+    one = F.row_number().over(Window.partitionBy("doc").orderBy("filename", "location", "content"))
+    found = stored(fusion.ranked(named.withColumn("_n", one).filter("_n = 1").drop("_n")), "candidates")
     if 2 * top_k < k:
         found = content_mmr(found.withColumn("query", F.lit("q")), 2 * top_k, weight=settings.content_lambda).drop("query")
 

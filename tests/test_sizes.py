@@ -33,3 +33,25 @@ def test_code_tokens_by_one_split_equal_those_by_name(spark):
     odd = ["", None, "_", "--a_-B", "a_Bc-DEFg__HTTPServer2X x É ÉcoleÜber_ÜBERCamel İstanbul _X_ -Ab A_B aB Ab9Cd ABc_DEf", "getUserName XMLParser get_HTTPResponse the_File"]
     found = spark.createDataFrame([(t,) for t in odd], "text string").select(T.code_tokens(text).alias("a"), plain.alias("b")).collect()
     assert [r["a"] for r in found] == [r["b"] for r in found] and found[4]["a"]
+
+
+def scans(df, what: str) -> int:
+    """How often a plan reads files whose path holds a name."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    return sum("Scan" in line and what in line for line in plan.splitlines())
+
+
+def test_hybrid_search_shuffles_no_text_but_the_candidates(spark, sf):
+    from quillgrove.plans import search
+
+    index, provider = queries._index(spark, sf)
+    found = search.hybrid(index, "thing orre hehely", provider(["thing orre hehely"])[0], 10)
+    assert not scans(found, "/chunks") and found.count() == 10
+
+
+def test_copies_of_a_chunk_are_one_candidate(spark):
+    from quillgrove.plans import search
+
+    rows = [("a.py", "[0, 10)", " alpha beta"), ("a.py", "[0, 10)", "alpha beta"), ("a.py", "[0, 10)", "alpha beta "), ("b.py", "[0, 10)", "gamma")]
+    found = search.hybrid(search.Index(spark.createDataFrame(rows, "filename string, location string, content string").repartition(4)), "alpha", None, 5).collect()
+    assert [(r["filename"], r["content"]) for r in found] == [("a.py", " alpha beta")]
