@@ -179,7 +179,8 @@ def file_search(index: Index, query: str, vector: list[float] | None, top_k: int
     """``(rank, filename, score, content, locations, is_reference_only)``: the
     first files in full, the others by signature."""
     check_query(query, top_k)
-    chunks = fusion.adaptive_cut(hybrid(index, query, vector, 3 * top_k, settings, reranker), top_k, settings.score_ratio)
+    hits = stored(hybrid(index, query, vector, 3 * top_k, settings, reranker), "hits")  # 3 top_k rows, computed once
+    chunks = fusion.adaptive_cut(hits, top_k, settings.score_ratio)
     by = Window.partitionBy("filename").orderBy(F.desc("score"), "location")
     begin = F.regexp_extract("location", r"(\d+)", 1).try_cast("int")
     best = chunks.withColumn("n", F.row_number().over(by)).withColumn("begin", begin)
@@ -196,6 +197,7 @@ def file_search(index: Index, query: str, vector: list[float] | None, top_k: int
     out = chosen.select("rank", "filename", F.round("score", 4).alias("score"), content.alias("content"), "locations", (~full).alias("is_reference_only"))
     if index.edges is None:
         return out
+    out = stored(out, "files")  # top_k rows
     near = related(index, out, settings)
     place = F.row_number().over(Window.orderBy("hop", "filename")) + 1000
     return out.unionByName(near.select(place.cast("int").alias("rank"), "filename", F.lit(0.0).alias("score"), F.lit("").alias("content"), F.array().cast("array<string>").alias("locations"), F.lit(True).alias("is_reference_only")))

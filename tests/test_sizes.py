@@ -55,3 +55,12 @@ def test_copies_of_a_chunk_are_one_candidate(spark):
     rows = [("a.py", "[0, 10)", " alpha beta"), ("a.py", "[0, 10)", "alpha beta"), ("a.py", "[0, 10)", "alpha beta "), ("b.py", "[0, 10)", "gamma")]
     found = search.hybrid(search.Index(spark.createDataFrame(rows, "filename string, location string, content string").repartition(4)), "alpha", None, 5).collect()
     assert [(r["filename"], r["content"]) for r in found] == [("a.py", " alpha beta")]
+
+
+def test_file_search_computes_its_hits_once(spark, sf):
+    from quillgrove.plans import search
+
+    index, provider = queries._index(spark, sf)
+    found = search.file_search(index, "thing orre hehely", provider(["thing orre hehely"])[0], 5)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") + found._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") <= 2
+    assert found.filter("rank < 1000").count() == 5
