@@ -209,9 +209,9 @@ def choose_symbols(index: Index, files: DataFrame, query: str, vector: list[floa
     spark = index.chunks.sparkSession
     tokens = tokens_of(spark, query)
     scope = files.filter(N.category(F.col("filename")) == "implementation").select("filename")
-    found = symbol_list(index, tokens, vector, most, scope)
+    found = stored(symbol_list(index, tokens, vector, most, scope), "list")
     if not found.limit(1).count():
-        found = symbol_list(index, tokens, vector, most)
+        found = stored(symbol_list(index, tokens, vector, most), "list")
     lines = F.col("line_end") - F.col("line_start") + 1
     every = Window.partitionBy()  # a top-k list
     kind = F.col("symbol_type").isin("function", "method")
@@ -241,25 +241,26 @@ def prioritise(files: DataFrame, docs: bool = True, tests: bool = False, most: i
 def curated_sections(index: Index, query: str, vector: list[float] | None, settings: Settings = Settings()) -> DataFrame:
     """Line-accurate sections of a few files under a budget of characters.  The
     budget is spent in rank order by an aggregate over at most ``sections``
-    rows, as what is left depends on what each section took."""
+    rows, as what is left depends on what each section took.  Each short list
+    is stored, so chunks are searched once and files are read once."""
     plain = Index(index.chunks, None, index.centrality, index.edges, index.files)
-    hits = hybrid(plain, query, vector, 20, settings)
+    hits = stored(hybrid(plain, query, vector, 20, settings), "hits")
     order = hits.groupBy("filename").agg(F.max("score").alias("score"))
     files = fusion.ranked(order, "filename").select("filename", "rank", "score")
     tests = "test" in query.lower()
-    chosen = prioritise(files.select("filename", "rank"), tests=tests, most=settings.section_files)
+    chosen = stored(prioritise(files.select("filename", "rank"), tests=tests, most=settings.section_files), "files")
     marks = None
     if index.symbols is not None:
         found = choose_symbols(index, chosen, query, vector, per_file=2).join(chosen.select("filename"), "filename", "left_semi")
-        marks = found.select("filename", "line_start", "line_end", "score", F.lit("symbol").alias("source"))
+        marks = stored(found.select("filename", "line_start", "line_end", "score", F.lit("symbol").alias("source")), "marks")
     uncovered = chosen if marks is None else chosen.join(marks.select("filename").distinct(), "filename", "left_anti")
     top = hits.join(uncovered.select("filename"), "filename", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("filename").orderBy(F.desc("score"), "location"))).filter("n = 1")
-    content = index.files.select("filename", F.col("content").alias("whole"))
+    content = stored(F.broadcast(chosen.select("filename")).join(index.files.select("filename", F.col("content").alias("whole")), "filename"), "whole")
     number = lambda k: F.regexp_extract("location", r"\[(\d+),\s*(\d+)\)", k).try_cast("int")
     placed = F.broadcast(top).join(content, "filename").filter(number(1).isNotNull())
     first = F.greatest(T.line_at(F.col("whole"), number(1)) - 10, F.lit(1))
     rows = placed.select("filename", first.alias("line_start"), (T.line_at(F.col("whole"), number(2)) + 10).alias("line_end"), "score", F.lit("chunk").alias("source"))
-    marks = rows if marks is None else marks.unionByName(rows)
+    marks = stored(rows if marks is None else marks.unionByName(rows), "marks")
     best = marks.groupBy("filename").agg(F.max("score").alias("score"), F.min("source").alias("source"))
     merged = spans.merge(marks, settings.merge_gap).join(best, "filename").join(chosen, "filename").orderBy("rank", "line_start").limit(settings.sections)
     lines = F.split("whole", "(?<=\n)")

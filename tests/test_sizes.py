@@ -64,3 +64,13 @@ def test_file_search_computes_its_hits_once(spark, sf):
     found = search.file_search(index, "thing orre hehely", provider(["thing orre hehely"])[0], 5)
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") + found._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") <= 2
     assert found.filter("rank < 1000").count() == 5
+
+
+def test_curated_sections_search_once_and_read_files_once(spark, sf):
+    from quillgrove.plans import search
+
+    index, provider = queries._index(spark, sf)
+    found = search.curated_sections(index, "thing orre hehely", provider(["thing orre hehely"])[0])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "/chunks" not in plan and "InPandas" not in plan
+    assert found.count() == 4
