@@ -74,7 +74,8 @@ def lexical_list(index: Index, tokens: list[str], k: int = 30) -> DataFrame:
 
 def symbol_list(index: Index, tokens: list[str], vector: list[float] | None, k: int = 30, files: DataFrame | None = None, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
     """Symbols by vector and by full text, at 2k each, fused and cut.  A side
-    that fails (vectors of another length, say) is logged and left out."""
+    that fails (vectors of another length, say) is an error: the other side's
+    ranking alone would look like the result of both."""
     symbols = index.symbols.withColumn("doc", F.sha2(F.concat_ws("\0", "filename", "symbol_name", "symbol_type", "line_start", "line_end"), 256))
     if files is not None:
         symbols = symbols.join(files.select("filename").distinct(), "filename", "left_semi")
@@ -84,17 +85,11 @@ def symbol_list(index: Index, tokens: list[str], vector: list[float] | None, k:
     sides = [(weights[1], lambda: lexical.bm25_plus(matching, tokens, top_k=2 * k, threshold=-1.0))]
     if vector is not None and "embedding" in symbols.columns:
         sides.append((weights[0], lambda: vectors.nearest(symbols, vector, top_k=2 * k)))
-    lists, shares, failed = [], [], []
-    for weight, make in sides:
-        try:
-            lists.append(fusion.ranked(stored(make(), "list")))  # 2k rows, computed once
-            shares.append(weight)
-        except Exception as e:  # one side's failure is not the search's
-            log.warning("a side of the symbol search failed", exc_info=True)
-            failed.append(e)
-    if not lists:
-        raise QuillgroveError("both sides of the symbol search failed") from failed[0]
-    fused = fusion.rrf_results(lists, shares).orderBy(F.desc("score"), "doc").limit(k)
+    try:
+        lists = [fusion.ranked(stored(make(), "list")) for _, make in sides]  # 2k rows, computed once
+    except Exception as e:
+        raise QuillgroveError("a side of the symbol search failed") from e
+    fused = fusion.rrf_results(lists, [weight for weight, _ in sides]).orderBy(F.desc("score"), "doc").limit(k)
     return F.broadcast(fused.drop("best")).join(symbols, "doc")  # k rows
 
 
@@ -112,9 +107,9 @@ def symbol_text(filename, name, kind, parent, signature, docstring):
     return F.concat_ws("\n", *parts)
 
 
-def hybrid(index: Index, query: str, vector: list[float] | None, top_k: int = 10, settings: Settings = Settings(), reranker: Reranker | None = None) -> DataFrame:
+def hybrid(index: Index, query: str, vector: list[float] | None, top_k: int = 10, settings: Settings = Settings(), reranker: Reranker | None = None, strict: bool = False) -> DataFrame:
     """``(filename, location, content, score)``.  A backend that fails is left
-    out; it is an error only if all of them do."""
+    out; it is an error only if all of them do, or with ``strict``."""
     check_query(query, 100 if top_k > 100 else top_k)
     spark, k = index.chunks.sparkSession, settings.candidates
     tokens = tokens_of(spark, query)
@@ -129,6 +124,8 @@ def hybrid(index: Index, query: str, vector: list[float] | None, top_k: int = 10
                 weights.append(weight)
                 contents.append(content)
         except Exception as e:  # one backend's failure is not the search's
+            if strict:
+                raise QuillgroveError("a search backend failed") from e
             log.warning("a search backend failed", exc_info=True)
             failed.append(e)
 
@@ -175,11 +172,11 @@ def related(index: Index, found: DataFrame, settings: Settings = Settings()) ->
     return graph.expand(found, tree).select(F.col("target").alias("filename"), "relation", "hop")
 
 
-def file_search(index: Index, query: str, vector: list[float] | None, top_k: int = 10, settings: Settings = Settings(), reranker: Reranker | None = None) -> DataFrame:
+def file_search(index: Index, query: str, vector: list[float] | None, top_k: int = 10, settings: Settings = Settings(), reranker: Reranker | None = None, strict: bool = False) -> DataFrame:
     """``(rank, filename, score, content, locations, is_reference_only)``: the
     first files in full, the others by signature."""
     check_query(query, top_k)
-    hits = stored(hybrid(index, query, vector, 3 * top_k, settings, reranker), "hits")  # 3 top_k rows, computed once
+    hits = stored(hybrid(index, query, vector, 3 * top_k, settings, reranker, strict), "hits")  # 3 top_k rows, computed once
     chunks = fusion.adaptive_cut(hits, top_k, settings.score_ratio)
     by = Window.partitionBy("filename").orderBy(F.desc("score"), "location")
     begin = F.regexp_extract("location", r"(\d+)", 1).try_cast("int")
@@ -238,13 +235,13 @@ def prioritise(files: DataFrame, docs: bool = True, tests: bool = False, most: i
     return kept.orderBy("rank").limit(most).select("filename", "rank")
 
 
-def curated_sections(index: Index, query: str, vector: list[float] | None, settings: Settings = Settings()) -> DataFrame:
+def curated_sections(index: Index, query: str, vector: list[float] | None, settings: Settings = Settings(), strict: bool = False) -> DataFrame:
     """Line-accurate sections of a few files under a budget of characters.  The
     budget is spent in rank order by an aggregate over at most ``sections``
     rows, as what is left depends on what each section took.  Each short list
     is stored, so chunks are searched once and files are read once."""
     plain = Index(index.chunks, None, index.centrality, index.edges, index.files)
-    hits = stored(hybrid(plain, query, vector, 20, settings), "hits")
+    hits = stored(hybrid(plain, query, vector, 20, settings, strict=strict), "hits")
     order = hits.groupBy("filename").agg(F.max("score").alias("score"))
     files = fusion.ranked(order, "filename").select("filename", "rank", "score")
     tests = "test" in query.lower()
