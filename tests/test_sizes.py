@@ -87,3 +87,19 @@ def test_scores_are_not_read_from_all_words_postings(spark, sf, name):
 
 def test_adaptive_cut_computes_its_hits_once(spark, sf):
     assert "documents.parquet" not in queries.adaptive_cut(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cover_density_gives_python_places_only(spark):
+    from quillgrove.operators.cover import cover_density, covers
+
+    texts = [(i, " ".join(("beta", "gap", "Alpha")[(i * j * j + j) % 3] for j in range(i % 9))) for i in range(40)] + [(40, None), (41, "gap " * 500 + "alpha")]
+    found = cover_density(spark.createDataFrame(texts, "doc long, content string"), ["alpha", "beta"], top_k=50)
+    plain = {}
+    for d, t in texts:
+        words = (t or "").lower().split()
+        own = {"alpha", "beta"}.intersection(words)
+        if own:
+            plain[d] = (len(own), round(sum(min(1.0, 16 / (b - a + 1)) for a, b in covers(words, own)), 9))
+    assert {r["doc"]: (r["level"], round(r["score"], 9)) for r in found.collect()} == plain
+    given = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line)
+    assert "tokens#" not in given and "content#" not in given
